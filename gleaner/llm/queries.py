@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, sharding, simhash
+from . import chat, decontam, line_dedup, packing, quality, sharding, simhash, token_store
 from .common import table
+from .tokens import default_path
 
 SHARDS = 24
 
@@ -33,7 +34,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup)}
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_tokens(token_store.write_tokens(table(spark, sf_dir, "documents"), default_path()))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), default_path())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup, op8_token_store, op9_packing, op10_quality)
+}
 
 _SCORE = "-ln((('0x' || substr(md5(key || ':' || i), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
