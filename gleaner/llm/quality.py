@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, rank: int = 8
     ranks = np.argsort([zlib.crc32(at[i:j].tobytes() + x[i:j].tobytes()) for i, j in zip(ends, ends[1:])], kind="stable")
     model.bias = float(np.log(y.mean() / (1 - y.mean())))
     g0, gw, gv, rate, decay = 1e-6, np.full(SIZE, 1e-6), np.full((SIZE, rank), 1e-6), 0.1, 1e-4 * 128
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(ranks), max(1, len(ranks) // 128)):
+    batches = max(1, len(ranks) // 128)
+    for _ in range(max(epochs, -(-400 // batches))):  # few rows are gone through more often
+        for part in np.array_split(rng.permutation(ranks), batches):
             where = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in part])
             size = ends[part + 1] - ends[part]
             row, a, v = np.repeat(np.arange(len(part)), size), at[where], x[where]

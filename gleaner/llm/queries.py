@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, quality, sharding, simhash, token_store
+from . import chat, decontam, embedding_dedup, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
 from .common import table
 from .tokens import default_path
 
 SHARDS = 24
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -51,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup, op8_token_store, op9_packing, op10_quality)
+    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup, op8_token_store, op9_packing, op10_quality)
 }
 
 _SCORE = "-ln((('0x' || substr(md5(key || ':' || i), 1, 13))::bigint + 0.5) / 4503599627370496.0)"

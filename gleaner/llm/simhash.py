@@ -147,4 +147,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, max_grou
 def keep_representatives(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Rows without doc_id stay."""
     gone = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
