@@ -79,7 +79,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded = lines.flatten().dictionary_encode()
     line_codes = len(coded.dictionary) + 1
     own_lines = np.bincount(np.unique(np.repeat(np.arange(n), n_lines) * line_codes + coded.indices.to_numpy()) // line_codes, minlength=n)
-    stats = [(np.maximum(chars, 1), True), (n_words, True), (chars / n_lines, True), (2.0 ** (chars / n_words), True)]
+    stats = [(np.maximum(chars, 1), True), (n_words, True), (chars / n_lines, True), (2.0 ** np.minimum(chars / n_words, 60), True)]
     stats += [(distinct / n_words, False), (own_lines / n_lines, False), *((c / chars, False) for c in counts[:-1])]
     bins = [np.searchsorted(_LENGTH_EDGES if long else _SHARE_EDGES, v, side="right") for v, long in stats]
     base = (1 << WORD_BITS) + np.arange(N_STATS) * BINS
