@@ -66,6 +66,23 @@ QUERIES = {
 _SCORE = "-ln((('0x' || substr(md5(key || ':' || i), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
 ORACLES = {
+    "op1_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+k as materialized (select doc_id, i, md5_number_lower(substr(h, 2 * i + 1, 800)) a, md5_number_upper(substr(h, 2 * i + 1, 800)) b from (select doc_id, h, unnest(range(0, n - 399)) i from d where n >= 400)),
+r as (select doc_id, i from k qualify count(*) over (partition by a, b) > 1),
+s as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end first from r),
+g as (select doc_id, i, sum(first) over (partition by doc_id order by i) g from s),
+p as (select doc_id, min(i) a, max(i) + 400 b from g group by doc_id, g),
+q as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) z from p),
+x as (select doc_id, count(*) n_spans, sum(b - a)::bigint n_removed, max(b) b, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) kept from q join d using (doc_id) group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * b + 1), h))) as kept_sha256
+from d left join x using (doc_id)""",
+    "op2_embedding_dedup": """
+with recursive e as (select vec_id, label, embedding::double[] v from embeddings),
+l as materialized (select a.vec_id a, b.vec_id b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.93),
+r as (select vec_id id, vec_id c from e union select l.b, r.c from r join l on l.a = r.id),
+m as (select id, min(c) c from r group by id), n as (select a, count(*) n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, m.c as component_id, vec_id = m.c as kept from e join m on m.id = vec_id left join n on n.a = vec_id""",
     "op4_sharding": f"""
 with recursive bits(i, v, n) as (select i, i::bigint, 0 from range(0, 256) r(i) union all
     select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, n + 1 from bits where n < 8),
