@@ -27,7 +27,8 @@ def document_batches(docs: DataFrame, extra: tuple[str, ...] = (), limit: int =
     d = d.withColumn("b", batch_numbers(F.transform("p", lambda x: x["n"]), limit))
     # a batch is a slice of the document's lines: its number goes up where the next batch begins
     starts = F.filter(F.transform("b", lambda x, i: F.when((i == 0) | (x != F.get("b", i - 1)), i)), lambda i: i.isNotNull())
-    d = d.withColumn("s", starts).select("doc_id", *extra, "p", "s", F.posexplode("s").alias("batch", "at"))
+    # outer, and filtered afterwards: else Spark infers a filter on s and numbers the batches twice
+    d = d.withColumn("s", starts).select("doc_id", *extra, "p", "s", F.posexplode_outer("s").alias("batch", "at")).where("at is not null")
     d = d.withColumn("pieces", F.slice("p", F.col("at") + 1, F.coalesce(F.get("s", F.col("batch") + 1), F.size("p")) - F.col("at")))
     text = F.array_join(F.transform("pieces", lambda x: x["t"]), "\n\n")
     return d.select("doc_id", *extra, "batch", "pieces", text.alias("batch_text"), F.aggregate("pieces", F.lit(0), lambda a, x: a + x["n"]).alias("char_count"))
