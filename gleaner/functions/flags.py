@@ -14,9 +14,10 @@ NO = ("F", "FALSE", "0", "N", "NO")
 
 def to_bool(c: Column) -> Column:
     """True, False or null from the text of a JSON value; numbers equal to 1 and 0 count as well."""
-    text, number = F.upper(strip(c)), c.try_cast("double")
-    yes = text.isin(*YES) | F.coalesce(number == 1, F.lit(False))
-    no = text.isin(*NO) | F.coalesce(number == 0, F.lit(False))
+    text = F.upper(strip(c))
+    # patterns, as casts of other texts cost an exception each
+    yes = text.isin(*YES) | text.rlike(r"^1\.0+$")
+    no = text.isin(*NO) | text.rlike(r"^-?0(\.0+)?$")
     return F.when(yes, True).when(no, False)
 
 

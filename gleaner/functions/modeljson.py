@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .flags import theme_ref, to_bool
-from .pytext import strip
+from .pytext import bind, strip
 
 # fixed values
 NO_REASON, NOT_APPLICABLE, NO_RULING = "未提供相关理由", "NA", "未提供仲裁理由"
@@ -35,17 +35,24 @@ def coarse(payload: Column, names: Column, by_index: Column) -> Column:
     Either a list under "themes" or flags by name or number; the first mention of a theme holds, missing
     and unreadable flags are false. Flat objects that name no theme are a format error, empty ones are not.
     """
-    listed = F.from_json(payload, THEMES)["themes"]
-    is_list = F.startswith(F.ltrim(F.get_json_object(payload, "$.themes")), F.lit("["))
-    ref = lambda x: F.coalesce(F.nullif(x["theme"], F.lit("")), F.nullif(x["theme_id"], F.lit("")), x["index"])
-    from_list = F.transform(listed, lambda x: F.struct(theme_ref(ref(x), names, by_index).alias("theme"), to_bool(x["is_relevant"]).alias("flag")))
-    flat = F.map_entries(F.from_json(payload, OBJECT))
-    from_flat = F.transform(flat, lambda x: F.struct(theme_ref(x["key"], names, by_index).alias("theme"), to_bool(x["value"]).alias("flag")))
-    said = F.filter(F.coalesce(F.when(is_list, from_list), F.when(~F.coalesce(is_list, F.lit(False)), from_flat), F.array().cast("array<struct<theme:string,flag:boolean>>")), lambda x: x["theme"].isNotNull())
-    first = lambda t: F.get(F.filter(said, lambda x: x["theme"] == t), F.lit(0))["flag"]
-    judged = F.transform(names, lambda t: F.struct(t.alias("theme"), F.coalesce(first(t), F.lit(False)).alias("is_relevant")))
-    bad = payload.isNull() | (~F.coalesce(is_list, F.lit(False)) & (F.size(flat) > 0) & (F.size(said) == 0))
-    return F.struct(F.when(bad, "format_error").otherwise("ok").alias("status"), F.when(~bad, judged).alias("themes"))
+    def read_payload(payload: Column) -> Column:
+        is_list = F.coalesce(F.startswith(F.ltrim(F.get_json_object(payload, "$.themes")), F.lit("[")), F.lit(False))
+        ref = lambda x: F.coalesce(F.nullif(x["theme"], F.lit("")), F.nullif(x["theme_id"], F.lit("")), x["index"])
+        mention = lambda r, flag: F.struct(theme_ref(r, names, by_index).alias("theme"), to_bool(flag).alias("flag"))
+        listed = F.transform(F.from_json(payload, THEMES)["themes"], lambda x: mention(ref(x), x["is_relevant"]))
+        flat = F.transform(F.map_entries(F.from_json(payload, OBJECT)), lambda x: mention(x["key"], x["value"]))
+        read = F.struct(is_list.alias("is_list"), F.coalesce(F.when(is_list, listed).otherwise(flat), F.array().cast("array<struct<theme:string,flag:boolean>>")).alias("all"))
+
+        def judge(r: Column) -> Column:
+            said = F.filter(r["all"], lambda x: x["theme"].isNotNull())
+            first = lambda t: F.get(F.filter(r["all"], lambda x: x["theme"] == t), F.lit(0))["flag"]
+            judged = F.transform(names, lambda t: F.struct(t.alias("theme"), F.coalesce(first(t), F.lit(False)).alias("is_relevant")))
+            bad = payload.isNull() | (~r["is_list"] & (F.size(r["all"]) > 0) & (F.size(said) == 0))
+            return F.struct(F.when(bad, "format_error").otherwise("ok").alias("status"), F.when(~bad, judged).alias("themes"))
+
+        return bind(read, judge)
+
+    return bind(payload, read_payload)
 
 
 def targeted(payload: Column, piece_ids: Column) -> Column:
@@ -53,22 +60,23 @@ def targeted(payload: Column, piece_ids: Column) -> Column:
 
     A mentioned piece is relevant unless a flag says it isn't; the first such mention gives the reason.
     """
-    found = F.from_json(payload, RESULTS)["results"]
-    good = F.startswith(F.ltrim(F.get_json_object(payload, "$.results")), F.lit("["))
-    hits = F.filter(found, lambda x: F.coalesce(to_bool(x["is_relevant"]), F.lit(True)))
-    first = lambda p: F.get(F.filter(hits, lambda x: strip(x["piece_id"]) == p), F.lit(0))
-    reason = lambda x: F.coalesce(F.nullif(strip(x["reason"]), F.lit("")), F.lit(NO_REASON))
-    judged = F.transform(
-        piece_ids,
-        lambda p: F.struct(p.alias("piece_id"), first(p).isNotNull().alias("is_relevant"), F.when(first(p).isNotNull(), reason(first(p))).otherwise(NOT_APPLICABLE).alias("reason")),
-    )
-    good = F.coalesce(good, F.lit(False))
-    return F.struct(F.when(good, "ok").otherwise("format_error").alias("status"), F.when(good, judged).alias("results"))
+    def read_payload(payload: Column) -> Column:
+        good = F.coalesce(F.startswith(F.ltrim(F.get_json_object(payload, "$.results")), F.lit("[")), F.lit(False))
+        hits = F.filter(F.from_json(payload, RESULTS)["results"], lambda x: F.coalesce(to_bool(x["is_relevant"]), F.lit(True)))
+        hits = F.transform(hits, lambda x: F.struct(strip(x["piece_id"]).alias("id"), F.coalesce(F.nullif(strip(x["reason"]), F.lit("")), F.lit(NO_REASON)).alias("reason")))
+
+        def judge(h: Column) -> Column:
+            first = lambda p: F.get(F.filter(h, lambda x: x["id"] == p), F.lit(0))["reason"]
+            return F.transform(piece_ids, lambda p: bind(first(p), lambda r: F.struct(p.alias("piece_id"), r.isNotNull().alias("is_relevant"), F.coalesce(r, F.lit(NOT_APPLICABLE)).alias("reason"))))
+
+        return F.struct(F.when(good, "ok").otherwise("format_error").alias("status"), F.when(good, bind(hits, judge)).alias("results"))
+
+    return bind(payload, read_payload)
 
 
 def ruling(payload: Column) -> Column:
     """struct(is_relevant, reason) of an arbiter; flags are read like the screeners', unreadable ones are false."""
-    flag = F.coalesce(to_bool(F.get_json_object(payload, "$.is_relevant")), F.lit(False))
+    flag = bind(F.get_json_object(payload, "$.is_relevant"), lambda f: F.coalesce(to_bool(f), F.lit(False)))
     reason = F.coalesce(F.nullif(strip(F.get_json_object(payload, "$.reason")), F.lit("")), F.lit(NO_RULING))
     return F.struct(flag.alias("is_relevant"), reason.alias("reason"))
 

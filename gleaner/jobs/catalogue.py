@@ -295,7 +295,7 @@ def q_timing_total(spark, sf):
 
 # ---- what models answer
 
-_THEMES = "array('alpha', ' ', 'beta', 'gamma')"
+_THEMES = ("alpha", " ", "beta", "gamma")
 
 
 @query(r"select conv_id, turn + 1 as idx, regexp_replace(text[1:20], '^\s+|\s+$', '', 'g') as theme from conversations where role = 'user' and trim(text[1:20]) <> ''")
@@ -311,9 +311,7 @@ select event_id, case k % 5 when 0 then 'alpha' when 1 then case k % 4 when 0 th
 def q_theme_resolve(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     ref = F.when(k % 5 == 0, " alpha ").when(k % 5 == 1, F.concat(F.lit("t"), (k % 4 + 1).cast("string"))).when(k % 5 == 2, F.concat(F.lit("0"), (k % 6).cast("string"))).when(k % 5 == 3, "delta").otherwise("gamma")
-    specs = screening.theme_table(F.expr(_THEMES))
-    names = F.transform(specs, lambda s: s["theme"])
-    return read(spark, sf, "events").select("event_id", flags.theme_ref(ref, names, F.map_from_entries(specs)).alias("theme"))
+    return read(spark, sf, "events").select("event_id", flags.theme_ref(ref, *screening.theme_literals(_THEMES)).alias("theme"))
 
 
 @query("""with k as (select event_id, event_type, regexp_extract(props, '-?\\d+')::bigint k from events),
@@ -344,10 +342,9 @@ def q_coarse_normalise(spark, sf):
     flat = F.format_string('{"1":"%s","T3":"%s","alpha":"T","2":"T"}', t(k % 3 == 0), t(k % 2 == 0))
     listed = F.format_string('{"themes":[{"theme":"alpha","is_relevant":"%s"},{"theme_id":"1","is_relevant":true},{"index":4,"is_relevant":1},{"theme":"beta"}]}', t(k % 3 == 0))
     payload = F.when(k % 4 == 0, flat).when(k % 4 == 1, listed).when(k % 4 == 2, "{}").otherwise('{"9":"T"}')
-    specs = screening.theme_table(F.expr(_THEMES))
-    names = F.transform(specs, lambda s: s["theme"])
-    e = read(spark, sf, "events").select("event_id", names.alias("names"), modeljson.coarse(payload, names, F.map_from_entries(specs)).alias("c"))
-    judged = F.coalesce("c.themes", F.transform("names", lambda n: F.struct(n.alias("theme"), F.lit(None).cast("boolean").alias("is_relevant"))))
+    names, by_index = screening.theme_literals(_THEMES)
+    e = read(spark, sf, "events").select("event_id", modeljson.coarse(payload, names, by_index).alias("c"))
+    judged = F.coalesce("c.themes", F.transform(names, lambda n: F.struct(n.alias("theme"), F.lit(None).cast("boolean").alias("is_relevant"))))
     return e.select("event_id", F.col("c.status").alias("status"), F.inline(judged))
 
 

@@ -16,17 +16,17 @@ LINE_MARK = "¶"
 def clean_text(text: Column, compact: bool = False) -> Column:
     """The lines worth reading: no directives, blank lines, technical comments, markers or line marks."""
 
-    def keep(raw: Column) -> Column:
-        line = strip(raw)
-        payload = strip(F.regexp_replace(line, r"^#+", ""))
-        technical = line.startswith("#") & (payload != "") & payload.rlike(TECHNICAL)
-        return ~raw.startswith("#+") & (line != "") & ~technical
-
-    def tidy(raw: Column) -> Column:
-        body = F.replace(F.regexp_replace(strip(raw), MARKER, ""), F.lit(LINE_MARK), F.lit(""))
+    def keep(line: Column) -> Column:
+        comment = line.startswith("#")
+        technical = F.when(comment, strip(F.regexp_replace(line, r"^#+", "")).rlike(TECHNICAL)).otherwise(False)
+        return (line != "") & ~technical
+
+    def tidy(line: Column) -> Column:
+        body = F.replace(F.when(line.contains("<pb:"), F.regexp_replace(line, MARKER, "")).otherwise(line), F.lit(LINE_MARK), F.lit(""))
         return drop_spaces(body) if compact else strip(body)
 
-    kept = F.filter(F.transform(F.filter(lines(text), keep), tidy), lambda x: x != "")
+    read = F.transform(F.filter(lines(text), lambda raw: ~raw.startswith("#+")), strip)
+    kept = F.filter(F.transform(F.filter(read, keep), tidy), lambda x: x != "")
     return F.array_join(kept, "\n")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -126,6 +126,12 @@ def theme_table(themes: Column) -> Column:
     return F.filter(numbered, lambda x: F.coalesce(x["theme"], F.lit("")) != "")
 
 
+def theme_literals(themes: Sequence[str]) -> tuple[Column, Column]:
+    """The names and the map from number to name of themes known to the driver: constants, folded by the optimizer."""
+    kept = [(i, t.strip()) for i, t in enumerate(themes, 1) if t.strip()]
+    return F.array(*(F.lit(t) for _, t in kept)), F.create_map(*(F.lit(x) for pair in kept for x in pair))
+
+
 def coarse_positives(answers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, theme) that a screener called relevant. answers: keys, status, themes array<struct<theme, is_relevant>>.
 
