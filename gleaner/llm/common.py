@@ -48,7 +48,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with lean_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table that `save` made and nothing reads any more."""
+    path = saved.sparkSession._jvm.org.apache.hadoop.fs.Path(saved._saved_at)
+    path.getFileSystem(saved.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -6,6 +6,7 @@ A byte goes if a string of `length` bytes that covers it also starts elsewhere,
    last such one. Equal windows pick the same gram at the same place, so a repeat shows as two anchors of equal
    gram. Neighbouring windows share anchors: a piece is a run of windows with one anchor, a few hundred bytes.
    Pieces move as hashes, one row for about 180 bytes of text.
+   Pieces whose gram occurs only once are done with.
 2. Pieces whose whole content (128-bit hash) occurs again are repeats throughout; they are counted, not compared.
 3. Different pieces with one gram are compared, one of each content. Lined up at their anchors they form a
    collection, and its sorted order is built column by column from the right (`repeated_windows`): a round
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import discard, save
 from .tokens import pieces_of
 
 SLICE = 1 << 20  # bytes of text handled at once; longer documents go in overlapping slices
@@ -112,7 +113,7 @@ def _slices(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(rk, doc_id, lo, hi, d0, ah, p1, p2): one row per piece; rk and doc_id name the document."""
-    schema = "rk long, doc_id long, lo int, hi int, d0 int, ah long, p1 long, p2 long"
+    schema = "rk int, doc_id long, lo int, hi int, d0 int, ah long, p1 long, p2 long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
 
     docs: rk, doc_id, text.
     """
-    anchors = save(anchor_rows(docs, length, gram), "anchors")
+    every = save(anchor_rows(docs, length, gram), "anchors")
+    shared = every.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah")
+    # most grams occur once: from here on only pieces with a shared one take part
+    anchors = save(every.join(shared, "ah", "left_semi"), "shared")
+    discard(every)
     pieces = anchors.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "doc_id", "lo", "hi")).alias("at"))
     pieces = save(pieces, "pieces")
     many = pieces.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -292,7 +297,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
 def remove_repeats(docs: DataFrame, length: int = 400, **how) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (longs), spans (merged, array of start and end), kept (binary)."""
     added = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "rk"}
-    docs = docs.select(*(c for c in docs.columns if c not in added), F.xxhash64("doc_id", "text").alias("rk"))
+    docs = docs.select(*(c for c in docs.columns if c not in added), F.hash("doc_id", "text").alias("rk"))
     spans = save(repeated_spans(docs.select("rk", F.col("doc_id").cast("long"), "text"), length, **how), "spans")
     spans = spans.withColumnsRenamed({"rk": "_rk", "id": "_id"})
     out = docs.join(spans, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_rk", "_id", "rk")
