@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .tokens import WordTokenizer, pieces_of
+from .tokens import pieces_of
+from .tokens import tokenizer as encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, salt long, sequence_id long, offset long, given_up boolean, group_bins long, group_bound long"
@@ -72,7 +73,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
     """One row per piece, with a salt that spreads rows evenly whatever they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, seen, part = WordTokenizer(tokenizer), 0, TaskContext.get().partitionId()
+        tok, seen, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for b in pieces_of(batch, 1):
                 ids, n = tok.encode(b.column(1))

@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, rank: int = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces_of(batch, 1):
+            for b in pieces_of(batch, 1, 2 << 20):
                 row, at, x = features(b.column(1))
                 ends = np.searchsorted(row, np.arange(b.num_rows), side="right")
                 each = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(v, kind)).cast(pa.list_(kind))
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces_of(batch, text):
+            for b in pieces_of(batch, text, 2 << 20):
                 row, at, x = features(b.column(text))
                 p = 1 / (1 + np.exp(-np.clip(shared.value.raw(at, x, row, b.num_rows), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])

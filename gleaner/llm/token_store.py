@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import save
-from .tokens import WordTokenizer, pieces_of
+from .tokens import pieces_of
+from .tokens import tokenizer as encoder
 
 _HEAD, _EF = struct.Struct("<6sBBQQQ"), struct.Struct("<QBQQ")
 _MAGIC = b"GTOK1\0"
@@ -112,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, segment_ids:
     """The written table (part, seg, first_doc, n_ids, data). Ranges of doc_id are encoded in parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seg = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        tok, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
         width = 2 if len(tok.n_bytes) <= 1 << 16 else 4
         keys, lengths, parts, held = [], [], [], 0
 
@@ -123,7 +124,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, segment_ids:
 
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for b in pieces_of(batch, 1, 2 << 20):
+            for b in pieces_of(batch, 1):
                 ids, n = tok.encode(b.column(1))
                 keys += b.column(0).to_pylist()
                 lengths.append(n + 1)
