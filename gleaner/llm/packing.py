@@ -122,7 +122,7 @@ def _pack_groups(capacity: int, turn: int, last: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000, rounds: int = 8) -> DataFrame:
     """pieces with sequence_id and offset, and the bins and bound of the group that packed them."""
     left, done = save(pieces, "pieces"), []
     for turn in range(rounds):
