@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontam, line_dedup, packing, quality, simhash
+from gleaner.llm import decontam, line_dedup, near_copies, packing, quality
 from gleaner.llm.common import save, table
 from gleaner.llm.tokens import default_path
 
@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_representatives(docs).select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    return near_copies.keep_representatives(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

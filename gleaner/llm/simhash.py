@@ -31,23 +31,34 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     body, ends, at = b" ".join(words), [], -1
     for w in words:
         ends.append(at := at + len(w) + 1)
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest, k = xxhash.xxh64_intdigest, min(shingle, len(words))
-    hashes = np.fromiter((digest(body[i:j], seed) for i, j in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(body[i:j], seed) for i, j in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) for each row."""
 
