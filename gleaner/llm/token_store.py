@@ -6,7 +6,7 @@ Format: a table of segments in the shared storage, each a self-contained blob (`
     document ids (i64 each), null marks (u8 each, if the flag is set), Elias-Fano boundaries, ids (little-endian)
 
 The Elias-Fano part holds the documents + 1 boundaries in 2 + log2(ids / documents) bits each and select samples, so
-`EliasFano.access` finds a document's start without a table of 64-bit offsets. Documents are in ascending doc_id
+`EliasFano.access` (`between` for a run of documents) finds starts without a table of 64-bit offsets. Documents are in ascending doc_id
 order over the segments (nulls first, rows of equal doc_id by a hash of the text); a segment's place follows from
 the counts of the segments before it. Null texts are empty: just the end id. Other columns are not stored.
 """
@@ -81,6 +81,21 @@ class EliasFano:
         bits = np.unpackbits(self.low[first // 8 : (first + self.width + 7) // 8], bitorder="little")[first % 8 :][: self.width]
         return (self.select(i) - i << self.width) | int((bits.astype(np.int64) << np.arange(self.width)).sum())
 
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Elements i to j - 1: `select` and the low bits for a run, read from the samples around it alone."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        at, after = int(self.samples[i // SAMPLE]), (j - 1) // SAMPLE + 1
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : (end + 7) // 8], bitorder="little")
+        bits[: at % 8] = 0
+        high = np.flatnonzero(bits)[i % SAMPLE :][: j - i] + at // 8 * 8 - np.arange(i, j)
+        first = i * self.width
+        bits = np.unpackbits(self.low[first // 8 : (j * self.width + 7) // 8], bitorder="little")[first % 8 :][: (j - i) * self.width]
+        return (high << self.width) | (bits.reshape(j - i, self.width).astype(np.int64) << np.arange(self.width)).sum(1)
+
     def decode(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
         low = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.int64)
@@ -141,6 +156,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, segment_ids:
     return save(d.mapInArrow(run, "part int, seg int, first_doc long, n_ids long, data binary"), "tokens")
 
 
+def segment_documents(base: int, data: bytes) -> pa.RecordBatch:
+    """The rows of one segment whose first id is number base; boundaries are read as many as a sample covers at once."""
+    keys, edges, ids = unpack(data)
+    ids, start, size, crc = ids.astype("<u4"), [], [], []
+    for k in range(0, len(keys), SAMPLE):
+        own = edges.between(k, min(k + SAMPLE, len(keys)) + 1)
+        start.append(base + own[:-1])
+        size.append(np.diff(own))
+        at = own.tolist()
+        crc += [zlib.crc32(ids[i:j]) for i, j in zip(at, at[1:])]
+    cols = [pa.array(keys, pa.int64()), pa.array(np.concatenate(start)), pa.array(np.concatenate(size)), pa.array(crc, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_tokens(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the written segments alone."""
     before = (W.unboundedPreceding, -1)
@@ -153,10 +182,6 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, data in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, edges, ids = unpack(data.as_py())
-                edges, ids = edges.decode(), ids.astype("<u4")
-                crc = [zlib.crc32(ids[i:j]) for i, j in zip(edges.tolist(), edges[1:].tolist())]
-                cols = [pa.array(keys, pa.int64()), pa.array(base + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield segment_documents(base, data.as_py())
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
