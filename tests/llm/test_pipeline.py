@@ -50,3 +50,13 @@ def test_run_gives_the_last_stage(spark, tables):
 
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_leaks_and_copies_without_doc_id_go(spark, tables):
+    item = "benchmark question number one asks what the answer of this long test item may be today"
+    rows = [(None, "Before it. " + item + " After it."), (None, "a clean text of its own"), (7, "another clean text here"), (None, "another clean text here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    got = corpus_pipeline.drop_benchmark_leaks(spark, df, tables[0])
+    assert got.columns == corpus_pipeline.COLUMNS and sorted(r.text for r in got.collect()) == sorted(t for _, t in rows[1:])
+    got = corpus_pipeline.drop_near_duplicates(spark, df, tables[0]).collect()
+    assert sorted((r.text, r.doc_id) for r in got) == sorted([(rows[0][1], None), (rows[1][1], None), (rows[2][1], 7)])
