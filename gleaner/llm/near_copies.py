@@ -5,8 +5,8 @@ more; groups are the components of these links.
 
 1. Documents with equal sets are one from here on.
 2. Candidates come from the trie self-join of `simhash` over fingerprints of the same shingles, and from bands of
-   minima: at similarity 0.8 about 10 of 64 bits differ, up to 20 in single pairs, and no blocks of 64 bits find these
-   in small groups. A band is the hash of `rows` minima; a pair at the threshold has none of `bands` bands in
+   minima: on sf0.1 pairs of similarity 0.8 to 0.9 differ in more than 12 of 64 bits at times, and 13 or more blocks of
+   64 bits are too short to keep groups small. A band is the hash of `rows` minima; a pair at the threshold has none of `bands` bands in
    common with a probability of (1 - threshold ** rows) ** bands, 5e-6 by default. Candidates are only joined into
    clusters: each document names the first one with its band, so a large group makes no more rows than it has.
 3. A cluster's documents meet with their texts and are compared exactly: a document's rarest shingles, as many as
