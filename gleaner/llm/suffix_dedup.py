@@ -7,27 +7,29 @@ A byte goes if a string of `length` bytes that covers it also starts elsewhere,
    gram. Neighbouring windows share anchors: a piece is a run of windows with one anchor, a few hundred bytes.
    Pieces move as hashes, one row for about 180 bytes of text.
    Pieces whose gram occurs only once are done with.
-2. Pieces whose whole content (128-bit hash) occurs again are repeats throughout; they are counted, not compared.
-3. Different pieces with one gram are compared, one of each content. Lined up at their anchors they form a
-   collection, and its sorted order is built column by column from the right (`repeated_windows`): a round
-   inserts one symbol of each piece before its suffix, which updates the order (the BWT's LF step: a stable
-   sort by symbol) and the common prefixes of neighbours (1 + the smallest between them, or 0). Symbols are
-   read from a sequential external file, a column a round. A window repeats if its suffix has a neighbour with a
-   common prefix of `length` or more. As windows only match at equal distance from their anchors, columns
-   hold all comparisons that the order of the whole collection would.
-4. Grams with more than `max_group` different pieces go by their windows' 128-bit hashes instead, counted
-   without meeting in one task.
+2. Of pieces with the same content (128-bit hash) one goes on, with its number of copies. Where a gram has one content only,
+   there is nothing to compare: its copies are repeats throughout.
+3. Pieces with one gram, lined up at their anchors, form a collection, and its sorted order is built column by column from
+   the right (`repeated_windows`): a round inserts one symbol of each piece before its suffix, which updates the order (the
+   BWT's LF step: a stable sort by symbol) and the common prefixes of neighbours (1 + the smallest between them, or 0).
+   Symbols come from a sequential external file, a table in the shared folder that holds them column by column. A window
+   repeats if its piece has copies or its suffix has a neighbour with a common prefix of `length` or more. As windows only
+   match at equal distance from their anchors, columns hold all comparisons that the order of the whole collection would.
+4. A collection above `max_group` pieces is divided, again and again, by what its windows have in common (`_divide`): windows
+   that start in the left or the right half of a collection's range of starts all cover the bytes from the
+   half's last start to its first end. Equal windows agree there, so they stay together. Where one start is left, those
+   bytes are the window itself and its pieces are repeats there.
 5. Repeated windows become spans of their documents, and the spans' bytes go.
 
-Defined cases: null texts count as empty, texts shorter than `length` stay whole; rows that repeat doc_id and text
-are documents of their own and repeat each other; a null doc_id is a document like others; other columns pass
-through, but for columns named like the result's, which are replaced.
+Documents are named by two 64-bit hashes of doc_id and text. Defined cases: null texts count as empty, texts shorter than
+`length` stay whole; rows that repeat doc_id and text are documents of their own and repeat each other; a null doc_id is a
+document like others; other columns pass through, but for columns named like the result's, which are replaced.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +114,8 @@ def _slices(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rk, doc_id, lo, hi, d0, ah, p1, p2): one row per piece; rk and doc_id name the document."""
-    schema = "rk int, doc_id long, lo int, hi int, d0 int, ah long, p1 long, p2 long"
+    """(k1, k2, lo, hi, d0, ah, p1, p2): one row per piece. docs: k1, k2, which name the document, and text."""
+    schema = "k1 long, k2 long, lo int, hi int, d0 int, ah long, p1 long, p2 long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,40 +136,47 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     cols = [b.column(0).take(row), b.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (lo + shift, hi + shift, at - lo)), pa.array(ah), pa.array(p[:, 0]), pa.array(p[:, 1])]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("k1", "k2", "text").mapInArrow(run, schema)
 
 
-def repeated_windows(pieces: list[bytes], d0: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece the starts, from the piece's start, of windows that another piece has at the same distance from its anchor."""
-    m, left = len(pieces), int(d0.max())
+def columns_of(pieces: list[bytes], d0: np.ndarray) -> tuple[int, int, bytes]:
+    """The pieces lined up at their anchors: bytes left of the anchors, width, and the symbols, last column first; 0: nothing there."""
+    left = int(d0.max())
     width = left + int(max(len(p) - d for p, d in zip(pieces, d0)))
-    symbols = np.zeros((m, width), np.uint16)  # 0: nothing here
+    kind = np.uint16 if any(b"\xff" in p for p in pieces) else np.uint8
+    symbols = np.zeros((len(pieces), width), kind)
     for i, (p, d) in enumerate(zip(pieces, d0)):
-        symbols[i, left - d : left - d + len(p)] = np.frombuffer(p, np.uint8)
-        symbols[i, left - d : left - d + len(p)] += 1
+        own = symbols[i, left - d : left - d + len(p)]
+        own[:] = np.frombuffer(p, np.uint8)
+        own += kind(1)
+    return left, width, np.ascontiguousarray(symbols.T[::-1]).tobytes()
+
+
+def repeated_windows(left: int, width: int, columns: bytes, d0: np.ndarray, copies: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each piece the starts, from the piece's start, of windows that another piece or a copy of it has at the same distance from its anchor."""
+    m = len(d0)
+    symbols = np.frombuffer(columns, np.uint8 if len(columns) == m * width else np.uint16)
     hits: list[tuple[np.ndarray, int]] = []
-    with tempfile.TemporaryFile() as columns:
-        np.ascontiguousarray(symbols.T[::-1]).tofile(columns)
-        del symbols
-        columns.seek(0)
-        order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: of the suffixes at i - 1 and i of the order
-        for c in range(width - 1, -1, -1):
-            column = np.frombuffer(columns.read(2 * m), np.uint16)
-            by_order = column[order]
-            move = np.argsort(by_order, kind="stable")
-            before, symbol = np.empty(m, np.int64), by_order[move]
-            before[0], before[1:] = -1, move[:-1]
-            same = np.zeros(m, bool)
-            same[1:] = (symbol[1:] == symbol[:-1]) & (symbol[1:] > 0)
-            fresh = np.zeros(m, np.int32)
-            if same.any():
-                fresh[same] = 1 + _range_min(common, before[same] + 1, move[same])
-            order, common = order[move], fresh
-            if c + length <= width:
-                full = common >= length
-                full[:-1] |= full[1:]
-                if full.any():
-                    hits.append((order[full], c))
+    order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: of the suffixes at i - 1 and i of the order
+    many = copies > 1
+    for c in range(width - 1, -1, -1):
+        column = symbols[(width - 1 - c) * m : (width - c) * m]
+        by_order = column[order]
+        move = np.argsort(by_order, kind="stable")
+        before, symbol = np.empty(m, np.int64), by_order[move]
+        before[0], before[1:] = -1, move[:-1]
+        same = np.zeros(m, bool)
+        same[1:] = (symbol[1:] == symbol[:-1]) & (symbol[1:] > 0)
+        fresh = np.zeros(m, np.int32)
+        if same.any():
+            fresh[same] = 1 + _range_min(common, before[same] + 1, move[same])
+        order, common = order[move], fresh
+        if c + length <= width:
+            full = common >= length
+            full[:-1] |= full[1:]
+            full &= ~many[order]
+            if full.any():
+                hits.append((order[full], c))
     out: list[list[int]] = [[] for _ in range(m)]
     for who, c in hits:
         for i in who.tolist():
@@ -189,118 +198,170 @@ def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-_VERDICT = "ah long, p1 long, p2 long, d0 int, runs array<struct<s:int,e:int>>"
+_CUT = "g long, r0 int, r1 int, ah long, p1 long, p2 long, d0 int, copies long, off int, body binary"
+_COLUMNS = "ah array<long>, p1 array<long>, p2 array<long>, d0 array<int>, at array<int>, off array<int>, copies array<long>, left int, width int, symbols binary"
+_VERDICT = "ah long, p1 long, p2 long, d0 int, s int, e int"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _runs(starts: np.ndarray) -> list[dict]:
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return [{"s": int(s), "e": int(e)} for s, e in zip(np.append(starts[0], starts[cut + 1]), np.append(starts[cut], starts[-1]))]
+def _fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    each = [c.split() for c in schema.split(", ")]
+    return [n for n, _ in each], [pa.list_(_KINDS[k[6:-1]]) if k.startswith("array<") else _KINDS[k] for _, k in each]
 
 
-def _compare(length: int, at_once: int):
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+def _batches(schema: str, rows: Iterator[tuple], at_once: int = 2000) -> Iterator[pa.RecordBatch]:
+    names, kinds = _fields(schema)
+    while held := list(islice(rows, at_once)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
-    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        d0 = t.column("d0").to_numpy()
-        found = repeated_windows(t.column("body").to_pylist(), d0, length)
-        hit = [i for i, x in enumerate(found) if len(x)]
-        own = t.select(_KEY).take(pa.array(hit, pa.int64()))
-        cols = [*(c.combine_chunks() for c in own.columns), pa.array([_runs(found[i]) for i in hit], kind)]
-        yield from pa.table(cols, names=[*_KEY, "runs"]).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, last = [], 0, None
-        for b in batches:  # sorted by gram: a group never spreads over two collections
+def _pieces_with_text(length: int, gram: int):
+    """(body, want) -> rows of _CUT: the pieces of each text. r0 to r1: where a piece's windows may start, counted from the anchor."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for text, want in zip(batch.column("body"), batch.column("want")):
+                body = text.as_buffer().to_pybytes()
+                for p in want.as_py():
+                    yield p["ah"], gram - length, 0, p["ah"], p["p1"], p["p2"], p["d0"], p["n"], 0, body[p["lo"] : p["hi"] + length]
+
+    return lambda batches: _batches(_CUT, rows(batches))
+
+
+def _divide(length: int):
+    """Rows of _CUT -> rows for the left and the right half of the range of starts; g: the hash of the bytes that all the half's windows cover."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                middle, body, d0 = (r["r0"] + r["r1"]) // 2, r["body"], r["d0"]
+                for r0, r1 in ((r["r0"], middle), (middle + 1, r["r1"])):
+                    a, b = max(0, d0 + r0), min(len(body) - length, d0 + r1)
+                    if a <= b:
+                        g = xxhash.xxh3_64_intdigest(body[d0 + r1 : d0 + r0 + length], r["g"] & (1 << 64) - 1) - (1 << 63)
+                        yield g, r0, r1, r["ah"], r["p1"], r["p2"], d0 - a, r["copies"], r["off"] + a, body[a : b + length]
+
+    return lambda batches: _batches(_CUT, rows(batches), 500)
+
+
+def _in_columns(at_once: int):
+    """Rows of _CUT, sorted by g -> rows of _COLUMNS: collections of about at_once pieces; those with one g are never parted."""
+
+    def collection(held: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(held).combine_chunks()
+        d0, off, body = t.column("d0").to_numpy(), t.column("off").to_numpy(), t.column("body").to_pylist()
+        left, width, symbols = columns_of(body, d0)
+        key = [t.column(c).to_pylist() for c in ("ah", "p1", "p2")]
+        # a piece's place from its own start, whatever part of it this is
+        return *key, (d0 + off).tolist(), d0.tolist(), off.tolist(), t.column("copies").to_pylist(), left, width, symbols
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, n, last = [], 0, None
+        for b in batches:
             if not b.num_rows:
                 continue
-            g = b.column("ah").to_numpy()
+            g = b.column("g").to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(g)) + 1), len(g)]
             for i, j in zip(cut, cut[1:]):
-                if rows >= at_once and g[i] != last:
-                    yield from judge(pa.Table.from_batches(held))
-                    held, rows = [], 0
+                if n >= at_once and g[i] != last:
+                    yield collection(held)
+                    held, n = [], 0
                 held.append(b.slice(i, j - i))
-                rows, last = rows + j - i, g[i]
+                n, last = n + j - i, g[i]
         if held:
-            yield from judge(pa.Table.from_batches(held))
+            yield collection(held)
 
-    return run
+    return lambda batches: _batches(_COLUMNS, rows(batches), 1)
 
 
-def _cut(schema: str, make):
-    """texts with the list `want` of their pieces -> rows of schema; make(bytes, piece) lists the rows of a piece."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+def _construct(length: int):
+    """Rows of _COLUMNS -> runs of windows (s to e, counted from the piece's start) that repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows: list[tuple] = []
-            for text, want in zip(batch.column("body"), batch.column("want")):
-                body = text.as_buffer().to_pybytes()
-                for p in want.as_py():
-                    rows += make(body, p)
-                    if len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    return run
+            for k in range(batch.num_rows):
+                one = {c: batch.column(c)[k] for c in batch.schema.names}
+                ah, p1, p2, d0, at, off, copies = (one[c].as_py() for c in ("ah", "p1", "p2", "d0", "at", "off", "copies"))
+                found = repeated_windows(one["left"].as_py(), one["width"].as_py(), one["symbols"].as_buffer(), np.array(at), np.array(copies), length)
+                for i, starts in enumerate(found):
+                    if len(starts):
+                        edge = np.flatnonzero(np.diff(starts) > 1)
+                        for s, e in zip(starts[np.append(0, edge + 1)].tolist(), starts[np.append(edge, len(starts) - 1)].tolist()):
+                            yield ah[i], p1[i], p2[i], d0[i], off[i] + s, off[i] + e
+
+    return lambda batches: _batches(_VERDICT, rows(batches), 20_000)
+
+
+def _split_collections(cut: DataFrame, length: int, max_group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Collections above max_group pieces -> (rows of _CUT in smaller collections, runs of windows that turned out equal on the way)."""
+    small, runs = [], []
+    names = _fields(_CUT)[0]
+    while True:
+        content = (F.xxhash64("d0", "body").alias("c1"), F.xxhash64(F.lit(1), "d0", "body").alias("c2"))
+        rows = cut.select("*", *content)
+        kinds = save(rows.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*names)).alias("one")), "kinds")
+        # parts of the same content are repeats throughout; one of them goes on, as a piece with copies
+        same = rows.join(kinds.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi")
+        runs.append(save(same.select("ah", "p1", "p2", (F.col("d0") + F.col("off")).alias("d0"), F.col("off").alias("s"), (F.col("off") + F.length("body") - length).alias("e")), "runs"))
+        discard(cut)
+        sizes = save(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sizes")
+        one = [F.greatest("one.copies", "n").alias("copies") if c == "copies" else F.col(f"one.{c}") for c in names]
+        left = kinds.select("g", "n", "one").join(sizes, "g").select("k", *one)
+        small.append(left.where(F.col("k") <= max_group).drop("k"))
+        hot = left.where((F.col("k") > max_group) & (F.col("r0") < F.col("r1"))).drop("k")  # different windows of one start never match
+        cut = save(hot.mapInArrow(_divide(length), _CUT), "divided")
+        if not cut.limit(1).count():
+            return small, runs
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group: int = 4096) -> DataFrame:
-    """(rk, id, spans): the windows of each document that repeat, as runs [start, end) of bytes that may touch.
+    """(k1, k2, spans): the windows of each document that repeat, as runs [start, end) of bytes that may touch.
 
-    docs: rk, doc_id, text.
+    docs: k1, k2, text.
     """
     every = save(anchor_rows(docs, length, gram), "anchors")
-    shared = every.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah")
+    # the counts are written first, so that the join on a very common gram can be split
+    grams = save(every.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah"), "grams")
     # most grams occur once: from here on only pieces with a shared one take part
-    anchors = save(every.join(shared, "ah", "left_semi"), "shared")
+    anchors = save(every.join(grams, "ah", "left_semi"), "shared")
     discard(every)
-    pieces = anchors.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "doc_id", "lo", "hi")).alias("at"))
+    discard(grams)
+    pieces = anchors.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("at"))
     pieces = save(pieces, "pieces")
-    many = pieces.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    many = save(pieces.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "contents")
     mixed = save(pieces.join(many, "ah").select(*_KEY, "n", "k", "at"), "mixed")
 
     def with_text(some: DataFrame) -> DataFrame:
-        want = some.groupBy(F.col("at.rk").alias("_rk"), F.col("at.doc_id").alias("_id")).agg(F.collect_list(F.struct(*_KEY, "at.lo", "at.hi")).alias("want"))
-        on = (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-        return docs.select("rk", "doc_id", F.col("text").cast("binary").alias("body")).join(want, on).select("body", "want")
-
-    schema = "ah long, p1 long, p2 long, d0 int, body binary"
-    take = lambda body, p: [(p["ah"], p["p1"], p["p2"], p["d0"], body[p["lo"] : p["hi"] + length])]
-    cut = save(with_text(mixed.where(F.col("k") <= max_group)).mapInArrow(_cut(schema, take), schema), "cut")
-    verdicts = cut.repartition("ah").sortWithinPartitions("ah").mapInArrow(_compare(length, 2048), _VERDICT)
-    hot = mixed.where(F.col("k") > max_group)
-    if hot.limit(1).count():
-        schema = "ah long, p1 long, p2 long, d0 int, off int, w1 long, w2 long"
-
-        def windows(body, p):
-            view, digest = memoryview(body), xxhash.xxh3_128_intdigest
-            for off in range(p["hi"] - p["lo"] + 1):
-                h = digest(view[p["lo"] + off : p["lo"] + off + length])
-                yield (p["ah"], p["p1"], p["p2"], p["d0"], off, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63))
-
-        w = save(with_text(hot).mapInArrow(_cut(schema, windows), schema), "windows")
-        twice = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        offs = w.join(twice, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_list(F.struct(F.col("off").alias("s"), F.col("off").alias("e"))).alias("runs"))
-        verdicts = verdicts.unionByName(offs)
-    whole = pieces.where("n > 1").select(*_KEY, F.array(F.struct(F.lit(0).alias("s"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("runs"))
-    verdicts = verdicts.join(mixed.where("n = 1").select(*_KEY), _KEY, "left_semi").unionByName(whole)
-    spans = anchors.join(verdicts, _KEY).select("rk", F.col("doc_id").alias("id"), F.explode(F.transform("runs", lambda r: F.struct((F.col("lo") + r["s"]).alias("s"), (F.col("lo") + r["e"] + length).alias("e")))).alias("span"))
-    return spans.groupBy("rk", "id").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+        want = some.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct(*_KEY, "n", "at.lo", "at.hi")).alias("want"))
+        texts = docs.select("k1", "k2", F.col("text").cast("binary").alias("body"))
+        return texts.join(want, ["k1", "k2"]).select("body", "want").mapInArrow(_pieces_with_text(length, gram), _CUT)
+
+    cut, runs = with_text(mixed.where(F.col("k") <= max_group)), []
+    if mixed.where(F.col("k") > max_group).limit(1).count():
+        small, runs = _split_collections(save(with_text(mixed.where(F.col("k") > max_group)), "cut"), length, max_group)
+        for part in small:
+            cut = cut.unionByName(part)
+    columns = save(cut.repartition("g").sortWithinPartitions("g").mapInArrow(_in_columns(2048), _COLUMNS), "columns")
+    verdicts = columns.mapInArrow(_construct(length), _VERDICT)
+    for part in runs:
+        verdicts = verdicts.unionByName(part)
+    verdicts = verdicts.unionByName(pieces.where("n > 1").select(*_KEY, F.lit(0).alias("s"), (F.col("at.hi") - F.col("at.lo")).alias("e")))
+    verdicts = save(verdicts, "verdicts")
+    spans = anchors.join(verdicts, _KEY).select("k1", "k2", F.struct((F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") + length).alias("e")).alias("span"))
+    # rows that repeat doc_id and text share their spans
+    spans = save(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans")), "spans")
+    for done in (anchors, pieces, many, mixed, columns, verdicts):
+        discard(done)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, **how) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (longs), spans (merged, array of start and end), kept (binary)."""
-    added = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "rk"}
-    docs = docs.select(*(c for c in docs.columns if c not in added), F.hash("doc_id", "text").alias("rk"))
-    spans = save(repeated_spans(docs.select("rk", F.col("doc_id").cast("long"), "text"), length, **how), "spans")
-    spans = spans.withColumnsRenamed({"rk": "_rk", "id": "_id"})
-    out = docs.join(spans, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_rk", "_id", "rk")
+    added = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "k1", "k2"}
+    names = (F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    docs = docs.select(*(c for c in docs.columns if c not in added), *names)
+    spans = repeated_spans(docs.select("k1", "k2", "text"), length, **how)
+    out = docs.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     span = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
     more = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("spans", span), T.StructField("kept", T.BinaryType())]
     base = [f for f in out.schema.fields if f.name != "spans"]

@@ -31,7 +31,7 @@ def run(df, **how):
     return sorted((tuple(r) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("max_group", [4096, 1])
+@pytest.mark.parametrize("max_group", [4096, 3, 1])
 def test_against_brute_force(spark, max_group):
     rows = corpus() + [(3, corpus()[0][1]), (None, corpus()[1][1]), (None, None)]
     assert run(frame(spark, rows, ["spans", "kept", "rk", "n_bytes"]), length=60, gram=8, max_group=max_group) == brute(rows, 60)
