@@ -98,7 +98,7 @@ from b, crc""",
     "op5_chat_collapse": """
 with c as (select conv_id, list((coalesce(role, ''), coalesce(text, '')) order by turn) t, count(*) n,
                   string_agg('<|' || coalesce(nullif(role, ''), 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' order by turn) chat
-           from conversations group by conv_id),
+           from (select *, case when conv_id is null then row_number() over () end alone from conversations) group by conv_id, alone),
 e as (select t, min(conv_id) conv_id, count(*) n_copies, any_value(n) n, any_value(chat) chat from c group by t)
 select conv_id, n::bigint as n_turns, n_copies::bigint as n_copies, chat from e
 where not exists (select 1 from e b where b.n > e.n and b.t[1:e.n] = e.t)""",

@@ -50,6 +50,17 @@ def test_snapshots_collapse(spark):
     assert chat.collapse_and_render(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_long_and_nameless_conversations(spark):
+    long = spark.range(200_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    start = long.where("turn < 150000").withColumn("conv_id", F.lit(2).cast("bigint"))
+    lone = long.withColumn("conv_id", F.lit(None).cast("bigint")).withColumn("text", F.concat(F.lit("x"), F.col("turn") % 50_000))
+    first = spark.createDataFrame([(None, 5, "user", "t0")], TURNS)  # the long conversation begins with it
+    got = chat.collapse_and_render(long.unionByName(start).unionByName(lone).unionByName(first).withColumn("h1", F.lit("mine")))
+    rows = got.groupBy(F.col("conv_id").isNull().alias("lone")).agg(F.count(F.lit(1)).alias("c"), F.sum("n_copies").alias("n"), F.max("n_turns").alias("t"), F.max(F.length("chat")).alias("m")).collect()
+    assert {(r.lone, r.c, r.n, r.t) for r in rows} == {(False, 1, 1, 200_000), (True, 50_000, 200_000, 1)}
+    assert max(r.m for r in rows) == 200_000 * len("<|user|>\nt0\n<|end|>\n")
+
+
 def test_repeated_turn_numbers(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "b"), (1, None, "system", "s"), (2, None, "system", "s")]
     got = chat.collapse_and_render(spark.createDataFrame(rows, TURNS)).collect()
