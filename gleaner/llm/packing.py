@@ -4,7 +4,8 @@ Documents are tokenized where they are read; from then on only pieces (lengths,
 groups of about `group_rows` by a stored salt. A group is packed by best-fit decreasing and certified by
 lower bounds from dual feasible functions. A group whose bins exceed its bound gives up the pieces of all bins
 that aren't full, a certified one those of its emptiest bin (what rounding up cost it). What is given up
-meets in new, fewer groups and is packed again, until one group has packed all that was left or `rounds` is reached.
+meets in new groups and is packed again, until one group has packed all that was left or a round needs as many
+bins for it as before.
 
 Only documents longer than the capacity are cut: the first piece takes the remainder, the others are full.
 Null and empty texts are one end id. Repeated rows are packed each on its own; a null doc_id stays null.
@@ -122,20 +123,25 @@ def _pack_groups(capacity: int, turn: int, last: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000, rounds: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000) -> DataFrame:
     """pieces with sequence_id and offset, and the bins and bound of the group that packed them."""
-    left, done = save(pieces, "pieces"), []
-    for turn in range(rounds):
-        rows = left.count()
-        groups = max(1, -(-rows // group_rows))
-        last = groups == 1 or turn == rounds - 1
+    left, done, before = save(pieces, "pieces"), [], None
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(64):  # a sequence's id has six bits for it
+        groups = max(1, -(-left.count() // group_rows))
+        last = groups == 1 or turn == 63
         mixed = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)).alias("g")
-        out = left.select("*", mixed).repartition(groups, "g").mapInArrow(_pack_groups(capacity, turn, last), PACKED)
-        out = save(out, "packed")
-        done.append(out.where("not given_up"))
-        if last:
+        # some groups share a task once there are many
+        dealt = left.select("*", mixed).repartition(min(groups, max(tasks, -(-groups // 8))), "g")
+        out = save(dealt.mapInArrow(_pack_groups(capacity, turn, last), PACKED), "packed")
+        # each bin has one piece at its start
+        first = F.col("offset") == 0
+        bins, loose = out.agg(F.count_if(first), F.count_if(first & F.col("given_up"))).first()
+        if last or not loose or (before is not None and bins >= before):
+            done.append(out)
             break
-        left = out.where("given_up").select(*left.columns)
+        done.append(out.where("not given_up"))
+        left, before = out.where("given_up").select(*left.columns), loose
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)

@@ -2,7 +2,8 @@
 
 Such a tokenizer first cuts a text before spaces that follow a non-space, whatever comes next, so a text's ids
 are the ids of its space-led words, one after another. Each word is encoded once for each worker and looked
-up afterwards, whole batches at a time; texts in which white space precedes a space are encoded whole, as the cut does not hold there.
+up afterwards, whole batches at a time; texts in which white space precedes a space, or which hold one of the tokenizer's
+added (special) tokens, are encoded whole, as the cut does not hold there.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.max_words = max_words
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.n_bytes = np.zeros(size, np.int64)
@@ -105,6 +106,8 @@ class WordTokenizer:
         """All ids of the texts, one after another, and each text's number of ids. Nulls count as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        for token in self.added:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, token))
         if not pc.any(unsafe).as_py():
             return self._by_words(texts)
         where = unsafe.to_numpy(zero_copy_only=False)

@@ -16,7 +16,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -53,14 +52,23 @@ def test_elias_fano_is_small():
 def test_segments():
     data = token_store.pack([None, 5, 9], np.array([2, 0, 3]), np.arange(5), 2)
     keys, edges, ids = token_store.unpack(data)
-    assert (keys, edges.decode().tolist(), ids.tolist()) == ([None, 5, 9], [0, 2, 2, 5], [0, 1, 2, 3, 4])
+    assert (keys.between(0, 3), edges.decode().tolist(), ids.tolist()) == ([None, 5, 9], [0, 2, 2, 5], [0, 1, 2, 3, 4])
+    far = [-(1 << 63), 0, (1 << 63) - 1]
+    assert token_store.unpack(token_store.pack(far, np.ones(3, int), np.arange(3), 2))[0].between(0, 3) == far
+    near = list(range(10**12, 10**12 + 40_000, 4))
+    data = token_store.pack(near, np.ones(10_000, int), np.arange(10_000), 2)
+    keys = token_store.unpack(data)[0]
+    assert keys.between(0, 10_000) == near and keys.between(777, 801) == near[777:801]
+    assert len(data) < 10_000 * (2 + 1)  # ids of two bytes; under a byte for a document's key and boundary
+    with pytest.raises(ValueError):
+        token_store.pack([2, 1], np.ones(2, int), np.arange(2), 2)
     with pytest.raises(ValueError):
         token_store.unpack(b"x" * 60)
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 50])
 def test_round_trip(spark, reference, segment):
-    rows = corpus() + [(None, "null key"), (2003, "again")]
+    rows = corpus() + [(None, "null key"), (2003, "again"), (2010, "before <|endoftext|> after"), (-5, "negative key")]
     segments = token_store.write_tokens(frame(spark, rows, ["data", "part"]).repartition(3), default_path(), segment_ids=segment)
     got = token_store.read_tokens(segments).orderBy("start").collect()
     ids = [r.doc_id for r in got]
