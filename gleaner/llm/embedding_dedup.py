@@ -98,7 +98,7 @@ def _by_dim(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.93, tables: int = 5, hashes: int = 2, probes: int = 3, block: int = 2048, seed: int = 11
+    vectors: DataFrame, threshold: float = 0.93, tables: int = 5, hashes: int = 2, probes: int = 3, block: int = 8192, seed: int = 11
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors (vec_id, embedding, label)."""
     hashers: dict[int, CrossPolytope] = {}
@@ -116,28 +116,26 @@ def near_duplicates(
     classes = v.where("sound").groupBy("h1", "h2", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = save(classes, "classes")
 
-    def file(with_vectors: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 4096):
+                b = batch.slice(part, 4096)
                 for dim, rows in _by_dim(b.column("embedding")):
                     own = b.take(pa.array(rows))
-                    at = hasher(dim).buckets(_unit(own.column("embedding"), dim))
-                    which = np.repeat(np.arange(len(rows)), at.shape[1] * at.shape[2])
-                    table = np.tile(np.repeat(np.arange(at.shape[1]), at.shape[2]), len(rows))
-                    filed = np.tile(np.arange(at.shape[2]) == 0, len(rows) * at.shape[1])
-                    for part in np.array_split(np.arange(len(which)), len(which) // 20_000 + 1):
-                        w = pa.array(which[part])
-                        cols = [own.column("label").take(w), pa.array(np.full(len(part), dim, np.int32)), pa.array(table[part].astype(np.int32)), pa.array(at.ravel()[part])]
-                        if with_vectors:
-                            cols += [pa.array(filed[part]), *(own.column(c).take(w) for c in ("rep", "n", "embedding"))]
-                        yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
-
-        return run
+                    at = hasher(dim).buckets(_unit(own.column("embedding"), dim)).reshape(len(rows), -1)
+                    codes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * at.shape[1], pa.int32()), pa.array(at.ravel()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(rows), dim, np.int32)), codes], [*own.schema.names, "dim", "codes"])
 
     key = ["label", "dim", "tab", "bucket"]
-    names = [*key, "filed", "rep", "n", "embedding"]
-    keys = classes.select("label", "embedding").mapInArrow(file(False), "label string, dim int, tab int, bucket long")
-    sizes = save(keys.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    # every vector is hashed once, for all tables; its codes go where it goes
+    coded = classes.select("label", "embedding", "rep", "n").mapInArrow(code, f"label string, embedding {kind}, rep long, n long, dim int, codes array<long>")
+    coded = save(coded, "codes")
+
+    def filed(*more: str) -> DataFrame:
+        out = coded.select("label", "dim", F.posexplode("codes").alias("_at", "bucket"), *more)
+        return out.select("label", "dim", F.expr(f"cast(_at div {1 + probes} as int)").alias("tab"), "bucket", (F.col("_at") % (1 + probes) == 0).alias("filed"), *more)
+
+    sizes = save(filed().groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -161,6 +159,7 @@ def near_duplicates(
             return
         dim, table, bucket, bi, bj = (t.column(c)[0].as_py() for c in ("dim", "tab", "bucket", "bi", "bj"))
         rep, n, filed, own = (t.column(c).to_numpy() for c in ("rep", "n", "filed", "own"))
+        codes = t.column("codes").combine_chunks().flatten().to_numpy().reshape(len(rep), tables, 1 + probes)
         x = _unit(t.column("embedding").combine_chunks(), dim)
         left, right = (np.flatnonzero(own == bi), np.flatnonzero(own == bj))
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -172,9 +171,7 @@ def near_duplicates(
             a, b = np.nonzero(near)
             for some in np.array_split(np.arange(len(a)), len(a) // 50_000 + 1) if len(a) else []:
                 i, j = part[a[some]], right[b[some]]
-                used, slot = np.unique(np.concatenate([i, j]), return_inverse=True)
-                codes = hasher(dim).buckets(x[used])
-                first, where = _met(codes[slot[: len(i)]], codes[slot[len(i) :]])
+                first, where = _met(codes[i], codes[j])
                 here = (first == table) & (where == bucket) & (rep[i] != rep[j])
                 i, j = i[here], j[here]
                 np.add.at(links, i, n[j])
@@ -185,11 +182,10 @@ def near_duplicates(
         hit = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(low[label[hit]])], ["rep", "links", "root"])
 
-    filed = classes.select("label", "embedding", "rep", "n").mapInArrow(file(True), f"label string, dim int, tab int, bucket long, filed boolean, rep long, n long, embedding {kind}")
     hot = sizes.where(F.col("rows") > block).select(*key, F.ceil(F.col("rows") / (block // 2)).cast("int").alias("blocks"))
-    dealt = filed.join(maybe_broadcast(hot, 100_000), key, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.lit(0)))
+    dealt = filed("rep", "n", "embedding", "codes").join(maybe_broadcast(hot, 100_000), key, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.lit(0)))
     others = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
-    dealt = dealt.withColumn("pair", F.explode(others)).select(F.xxhash64(*key, "pair").alias("g"), "dim", "tab", "bucket", "pair.bi", "pair.bj", "own", "filed", "rep", "n", "embedding")
+    dealt = dealt.withColumn("pair", F.explode(others)).select(F.xxhash64(*key, "pair").alias("g"), "dim", "tab", "bucket", "pair.bi", "pair.bj", "own", "filed", "rep", "n", "embedding", "codes")
     found = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "rep long, links long, root long")
     found = save(found, "found")
     comps = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
