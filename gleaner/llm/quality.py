@@ -9,8 +9,8 @@ score reads nothing but the text.
 
 The model is fitted on at most `max_rows` labelled rows, those of smallest hash of doc_id among rows that aren't
 held out; everything is scored. Held out: crc32(doc_id as text) mod 5 = 0. Null texts count as empty and get a
-score like others. Of several labels for a doc_id one may be used twice; labels that are null, or of
-unknown documents, teach nothing. Without both labels in the sample the score is a constant, the share of ones.
+score like others. Different labels of one doc_id each count; of rows that repeat a doc_id the one whose text
+has the smallest hash is learnt from. Labels that are null, or of unknown documents, teach nothing. Without both labels in the sample the score is a constant, the share of ones.
 """
 
 from __future__ import annotations
@@ -92,9 +92,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     # at most max_rows rows of two numbers
-    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    # one text for each, however often a doc_id is repeated
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, rank: int = 8, epochs: int = 6, seed: int = 7) -> Model:
