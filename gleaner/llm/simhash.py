@@ -7,7 +7,8 @@ Links (at most `budget` differing bits): only distinct fingerprints meet. With b
 linked fingerprints agree in a block at least, so each fingerprint goes once to each of its blocks; within a
 block's group the fingerprints, block first, form a binary trie that is joined with itself: pairs of nodes go
 down together, a bit at a time, gather differing bits and end when these exceed the budget. Groups above
-`max_group` are split again by blocks of their remaining bits. A task returns a spanning forest of its links,
+`max_group` are divided by blocks of their remaining bits, and once more (`DIVISIONS`); what is still together then agrees in
+half of its bits. A task returns a spanning forest of its links,
 never all pairs; components come from the forests.
 
 Defined cases: null, empty and wordless texts have fingerprint 0; rows are judged one by one, so repeated
@@ -29,6 +30,7 @@ from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PAIRS_AT_ONCE = 1 << 20
+DIVISIONS = 2
 
 
 def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -122,26 +124,38 @@ def _forest(budget: int):
     return run
 
 
+def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """Each row once for each block of its `left` low bits: that block moves to their top and is done with.
+
+    rows: rep, g, fp, left. Rows that agree in what is done with share g, and their bits have moved alike.
+    """
+    parts = []
+    for i in range(blocks):
+        lo, hi = f"cast(({i} * left) div {blocks} as int)", f"cast(({i + 1} * left) div {blocks} as int)"
+        ones = lambda n: f"(shiftleft(1L, {n}) - 1)"
+        own = f"(shiftrightunsigned(fp, {lo}) & {ones(f'{hi} - {lo}')})"
+        rest = f"(shiftleft(shiftrightunsigned(fp, {hi}) & {ones(f'left - {hi}')}, {lo}) | (fp & {ones(lo)}))"
+        done = "if(left = 64, 0L, shiftleft(shiftrightunsigned(fp, left), left))"
+        moved = f"{done} | shiftleft({own}, left - ({hi} - {lo})) | {rest}"
+        parts.append(f"named_struct('g', xxhash64(g, {i}, {own}), 'fp', {moved}, 'left', left - ({hi} - {lo}))")
+    return rows.select("rep", F.expr(f"explode(array({', '.join(parts)}))").alias("r")).select("rep", "r.*")
+
+
 def fingerprint_links(fps: DataFrame, budget: int = 4, max_group: int = 200_000) -> DataFrame:
     """(a, b): links, between the representatives of distinct fingerprints, that span all links. fps: (fp, rep)."""
-    blocks, n = budget + 1, 64
-    edge = [i * n // blocks for i in range(blocks + 1)]
-    mask = [((1 << edge[i + 1]) - (1 << edge[i])) for i in range(blocks)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    # (block, its bits) and the fingerprint turned so that the block's bits lead
-    turned = lambda i: F.col("fp") if i == blocks - 1 else F.shiftleft("fp", n - edge[i + 1]).bitwiseOR(F.shiftrightunsigned("fp", edge[i + 1]))
-    rows = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits"), turned(i).alias("turned")) for i, m in enumerate(mask)]
-    spread = fps.select("rep", F.explode(F.array(*rows)).alias("r")).select("rep", "r.*")
-    counts = save(spread.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "blocks")
-    hot = counts.where(F.col("n") > max_group).select("block", "bits", F.lit(True).alias("hot"))
-    # the remaining bits, now the low ones, in blocks of their own
-    low = [n - (edge[1] - edge[0] + 1) - 1] * 1
-    rest = low[0] // blocks
-    sub = [F.struct(F.lit(j).alias("j"), F.col("turned").bitwiseAND(F.lit(((1 << rest) - 1) << (j * rest) if j < blocks - 1 else ((1 << low[0]) - (1 << (j * rest)))).cast("long")).alias("more")) for j in range(blocks)]
-    none = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("more")))
-    spread = spread.join(maybe_broadcast(hot, 100_000), ["block", "bits"], "left").withColumn("s", F.explode(F.when(F.col("hot"), F.array(*sub)).otherwise(none)))
-    key = F.xxhash64("block", "bits", "s.j", "s.more")
-    return spread.select(key.alias("g"), F.col("turned").alias("fp"), "rep").repartition("g").mapInArrow(_forest(budget), "a long, b long")
+    rows = fps.select("rep", F.lit(0).cast("long").alias("g"), "fp", F.lit(64).alias("left"))
+    out = None
+    for level in range(DIVISIONS + 1):
+        spread = _blocks(rows, budget + 1)
+        hot = save(spread.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("g"), "hot")
+        some = level < DIVISIONS and hot.limit(1).count()
+        cold = spread.join(maybe_broadcast(hot, 100_000), "g", "left_anti") if some else spread
+        found = cold.select("g", "fp", "rep").repartition("g").mapInArrow(_forest(budget), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if not some:
+            return out
+        # groups that are too large go on by blocks of their remaining bits
+        rows = save(spread.join(maybe_broadcast(hot, 100_000), "g", "left_semi"), "rows")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, max_group: int = 200_000) -> DataFrame:
