@@ -330,6 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
     pieces = save(pieces, "pieces")
     many = save(pieces.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "contents")
     mixed = save(pieces.join(many, "ah").select(*_KEY, "n", "k", "at"), "mixed")
+    discard(many)
 
     def with_text(some: DataFrame) -> DataFrame:
         want = some.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct(*_KEY, "n", "at.lo", "at.hi")).alias("want"))
@@ -341,7 +342,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
         small, runs = _split_collections(save(with_text(mixed.where(F.col("k") > max_group)), "cut"), length, max_group)
         for part in small:
             cut = cut.unionByName(part)
+    # written before it is dealt: the texts' shuffle files go first
+    cut = save(cut, "cut")
     columns = save(cut.repartition("g").sortWithinPartitions("g").mapInArrow(_in_columns(2048), _COLUMNS), "columns")
+    discard(cut)
     verdicts = columns.mapInArrow(_construct(length), _VERDICT)
     for part in runs:
         verdicts = verdicts.unionByName(part)
@@ -350,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
     spans = anchors.join(verdicts, _KEY).select("k1", "k2", F.struct((F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") + length).alias("e")).alias("span"))
     # rows that repeat doc_id and text share their spans
     spans = save(spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans")), "spans")
-    for done in (anchors, pieces, many, mixed, columns, verdicts):
+    for done in (anchors, pieces, mixed, columns, verdicts):
         discard(done)
     return spans
 
