@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import flags, modeljson, pytext
 from ..operators import adjudicate, batches, citations, dedupe, fragments, ordered, overview, progress, review, scope, screening, workspace
-from ..sinks import corpus_yaml
+from ..sinks import corpus_yaml, record_files
 from ..sources import corpus, records
 from . import screen
+from .log import ResponseLog
+from .state import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,15 +295,22 @@ def q_timing_total(spark, sf):
     return overview.timing_total(q_timing_estimate(spark, sf))
 
 
+@query(f"""with recursive {_FILES}, o as (select count(*)::bigint files, sum(chars)::bigint chars, sum(fragments)::bigint fragment_count, sum(batches)::bigint batch_count from files), t as (select *, ceil(batch_count * 0.01)::bigint targeted_batch_count from o)
+select '' as token, batch_count, fragment_count, targeted_batch_count, ((ceil(batch_count / 7) + ceil(targeted_batch_count / 7) + ceil(batch_count / 14) + ceil(targeted_batch_count / 14)) * 20)::bigint as lower_bound_seconds from t""")
+def q_timing_without_targets(spark, sf):
+    targets, o = _overview(spark, sf)
+    return overview.timing(o.where("false"), 7, 14, total=overview.overview_total(o, targets))
+
+
 # ---- what models answer
 
 _THEMES = ("alpha", " ", "beta", "gamma")
 
 
-@query(r"select conv_id, turn + 1 as idx, regexp_replace(text[1:20], '^\s+|\s+$', '', 'g') as theme from conversations where role = 'user' and trim(text[1:20]) <> ''")
+@query(r"select conv_id, turn + 1 as idx, regexp_replace(text, '^\s+|\s+$', '', 'g') as theme from conversations where role = 'user' and regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
 def q_theme_specs(spark, sf):
     # a conversation's turns as theme names; those of other roles are blank, so numbers have gaps
-    t = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).otherwise(" ").alias("t")))).alias("l"))
+    t = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", F.col("text")).otherwise(" ").alias("t")))).alias("l"))
     specs = screening.theme_table(F.transform("l", lambda x: x["t"]))
     return t.select("conv_id", F.inline(specs)).select("conv_id", F.col("idx").cast("bigint").alias("idx"), "theme")
 
@@ -455,6 +464,35 @@ def q_target_summary(spark, sf):
     return adjudicate.target_summary(screen.final_records(read(spark, sf, "documents"), ("source",)), "source").withColumnRenamed("source", "target")
 
 
+@query(f"""with recursive {_FINAL}, t as (select source target, count(distinct lang) repo_dir_count from documents group by 1),
+n as (select source target, 'f' k, count(*) n from f group by 1 union all select d.source, 'b', count(*) from bt join documents d using (doc_id) group by 1
+ union all select d.source, 'p', count(*) from c join documents d using (doc_id) group by 1 union all select source, 'c', count(*) from v where l1 and l2 group by 1
+ union all select source, 'd', count(*) from v where l1 <> l2 group by 1 union all select source, 'r', count(*) from fin group by 1
+ union all select source, 'i', count(distinct piece_id) from fin group by 1 union all select source, 'a', count(*) from fin where judgment = 'arbitrated' group by 1)
+select target, repo_dir_count, coalesce(sum(n) filter (k = 'f'), 0)::bigint as fragment_count, coalesce(sum(n) filter (k = 'b'), 0)::bigint as batch_count, coalesce(sum(n) filter (k = 'p'), 0)::bigint as candidate_pair_count,
+ coalesce(sum(n) filter (k = 'c'), 0)::bigint as consensus_count, coalesce(sum(n) filter (k = 'd'), 0)::bigint as dispute_count, 0::bigint as manual_review_count, coalesce(sum(n) filter (k = 'r'), 0)::bigint as final_record_count,
+ coalesce(sum(n) filter (k = 'i'), 0)::bigint as final_piece_count, coalesce(sum(n) filter (k = 'a'), 0)::bigint as arbitrated_keep_count from t left join n using (target) group by target, repo_dir_count""")
+def q_target_state(spark, sf):
+    d = read(spark, sf, "documents").withColumn("target", F.col("source"))
+    b = screen.document_batches(d, ("target",))
+    pairs = screen.candidates(b)
+    v = screen.verdicts(pairs, ("target",))
+    parts = {
+        "repo_dir_count": d.select("target", "lang").distinct(), "fragment_count": b.select("target", F.explode("pieces")), "batch_count": b, "candidate_pair_count": pairs,
+        "consensus_count": v.where("l1 and l2"), "dispute_count": v.where("l1 <> l2"), "manual_review_count": v.where("false"),
+    }
+    return adjudicate.full_summary(parts, screen.final_records(d, ("target",)))
+
+
+@query(f"with recursive {_FINAL} select piece_id, theme as matched_theme, source as target, judgment, note from fin")
+def q_project_records(spark, sf):
+    # written as JSON lines, a folder for each target, and read back over all targets
+    r = screen.final_records(read(spark, sf, "documents"), ("source",)).withColumnsRenamed({"theme": "matched_theme", "source": "target"})
+    path = scratch_dir(spark)
+    record_files.write_records(r.select("target", "piece_id", "matched_theme", "judgment", "note"), path)
+    return record_files.project_records(spark, path, "piece_id string, matched_theme string, judgment string, note string")
+
+
 @query(f"""with {_LINES} select 'targeted::' || doc_id || '::' || printf('%08d-%05d', doc_id, pos) as manual_review_key, source as source_file, 'by the / ment / der' as theme_line, '自动兜底失败，需人工审核。short' as manual_review_reason, md5(t) as text_md5
 from f join (select doc_id from documents where length(text) < 500) using (doc_id)""")
 def q_manual_review(spark, sf):
@@ -469,9 +507,11 @@ def q_manual_review(spark, sf):
 
 @query("select doc_id from documents where lang <> 'en'")
 def q_resume_pending(spark, sf):
-    # English documents are answered already
-    d = read(spark, sf, "documents").select("doc_id", "lang")
-    return d.select("doc_id").join(d.where("lang = 'en'").select("doc_id"), "doc_id", "left_anti")
+    # English documents are answered already, and stand in the response log
+    requests = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.md5("text").alias("prompt"), "lang")
+    log = ResponseLog(spark, scratch_dir(spark))
+    log.ask(screening.RuleScreener(F.lit("{}")), requests.where("lang = 'en'"), "coarse", "llm1", "mark")
+    return log.pending(requests, "coarse", "llm1", "mark").select(F.col("key").cast("bigint").alias("doc_id"))
 
 
 @query("select e.event_id, f.event_id as last_event, f.event_type as payload from events e join (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) f on f.user_id = e.user_id and rn = 1")
@@ -536,6 +576,23 @@ def q_openalex_abstract(spark, sf):
     return index.select("item_id", citations.abstract(F.col("index")).alias("abstract"))
 
 
+@query("""select page_id, 'openalex' as source, 'W' || page_id as openalex_id, case when page_id % 3 = 0 then '' else '10.1/' || page_id end as doi, url as title, (2000 + page_id % 20)::int as year,
+'article' as type, case when page_id % 4 = 0 then '' else 'Li ' || page_id % 5 || '|Wang' end as authors, case when page_id % 2 = 0 then 'J ' || page_id % 7 else '' end as journal, 'w' || page_id % 7 || ' x w' || page_id % 7 as abstract, (page_id % 11)::int as cited_by_count from pages""")
+def q_openalex_works(spark, sf):
+    # every page as the JSON of a work
+    name = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
+    k = F.col("page_id")
+    word = F.concat(F.lit("w"), (k % 7).cast("string"))
+    work = F.struct(
+        F.concat(F.lit("https://openalex.org/W"), k.cast("string")).alias("id"), F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.1/"), k.cast("string"))).alias("doi"), F.col("url").alias("display_name"),
+        (2000 + k % 20).alias("publication_year"), F.lit("article").alias("type"), F.when(k % 4 != 0, F.array(name(F.concat(F.lit("Li "), (k % 5).cast("string"))), name(F.lit("Wang")))).alias("authorships"),
+        F.struct(F.when(k % 2 == 0, F.struct(F.concat(F.lit("J "), (k % 7).cast("string")).alias("display_name"))).alias("source")).alias("primary_location"),
+        F.create_map(word, F.array(F.lit(0), F.lit(2)), F.lit("x"), F.array(F.lit(1))).alias("abstract_inverted_index"), (k % 11).alias("cited_by_count"),
+    )
+    out = citations.normalize_works(read(spark, sf, "pages").select("page_id", F.to_json(work).alias("payload")))
+    return out.drop("id").withColumn("authors", F.array_join("authors", "|"))
+
+
 @query("select page_id, 'W' || page_id as work, '10.1/' || page_id as doi from pages")
 def q_work_ids(spark, sf):
     p = read(spark, sf, "pages").select("page_id", F.concat(F.lit("https://openalex.org/W"), "page_id").alias("id"), F.concat(F.lit("https://doi.org/10.1/"), "page_id").alias("d"))

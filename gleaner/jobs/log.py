@@ -1,7 +1,9 @@
 """The response log: every answer of a screener, appended once it is there and read back once for each key.
 
 Remote answers can't be asked for twice with the same result, so a job first appends them here and only
-uses what it reads back. A later run asks only for keys that have no answer under the same fingerprint.
+uses what it reads back. A later run asks only for requests that have no answer under the same fingerprint (pipeline
+version and model) to the same prompt: a changed text, theme or prompt is asked anew, all else is not. Requests go out in
+slices, each appended when it is done, so a run that is killed midway loses one slice at most.
 """
 
 from __future__ import annotations
@@ -15,38 +17,50 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import last_wins
 
-SCHEMA = "stage string, slot string, fingerprint string, key string, status string, payload string, error string, attempts int, ord bigint"
+SCHEMA = "stage string, slot string, fingerprint string, key string, asked string, status string, payload string, error string, attempts int, ord bigint"
 ANSWERED = ("ok", "fallback", "manual")
 
 
 def fingerprint(**what) -> str:
-    """Of all that an answer depends on: themes, prompts, model, limits, pipeline version."""
+    """Of what an answer depends on besides its prompt: the model, the pipeline's version."""
     return hashlib.sha256(json.dumps(what, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def _asked(requests: DataFrame) -> DataFrame:
+    """requests with the hash of their prompts, blank where they have none."""
+    return requests.withColumn("asked", F.sha2("prompt", 256) if "prompt" in requests.columns else F.lit(""))
+
+
 class ResponseLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def read(self, stage: str, slot: str, mark: str) -> DataFrame:
-        """The last answer for each key; (key, status, payload, error, attempts)."""
+        """The last answer for each key and prompt; (key, asked, status, payload, error, attempts)."""
         try:
             log = self.spark.read.schema(SCHEMA).parquet(self.path)
         except AnalysisException:
             log = self.spark.createDataFrame([], SCHEMA)
         own = log.where((F.col("stage") == stage) & (F.col("slot") == slot) & (F.col("fingerprint") == mark) & F.col("status").isin(*ANSWERED))
-        return last_wins(own.select("key", "status", "payload", "error", "attempts", "ord"), ["key"], ["ord"]).drop("ord")
+        return last_wins(own.select("key", "asked", "status", "payload", "error", "attempts", "ord"), ["key", "asked"], ["ord"]).drop("ord")
 
     def pending(self, requests: DataFrame, stage: str, slot: str, mark: str) -> DataFrame:
-        return requests.join(self.read(stage, slot, mark).select("key"), "key", "left_anti")
+        return _asked(requests).join(self.read(stage, slot, mark).select("key", "asked"), ["key", "asked"], "left_anti")
 
     def append(self, answers: DataFrame, stage: str, slot: str, mark: str, ord_: int) -> None:
-        a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"))
+        a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "asked", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"))
         a.write.mode("append").parquet(self.path)
 
-    def ask(self, screener, requests: DataFrame, stage: str, slot: str, mark: str, ord_: int = 0) -> DataFrame:
-        """Answers for the requests: what the log lacks is asked and appended, then all is read from the log."""
+    def ask(self, screener, requests: DataFrame, stage: str, slot: str, mark: str, ord_: int = 0, slice_rows: int = 20_000) -> DataFrame:
+        """Answers for the requests: what the log lacks is asked and appended, slice by slice, then all is read from the log."""
         todo = self.pending(requests, stage, slot, mark)
-        if todo.limit(1).count():
-            self.append(screener.screen(todo), stage, slot, mark, ord_)
-        return requests.select("key").join(self.read(stage, slot, mark), "key")
+        slices = -(-todo.count() // slice_rows)
+        if slices > 1:
+            path = f"{self.path}-todo-{slot}-{ord_}"
+            todo.write.mode("overwrite").parquet(path)
+            todo = self.spark.read.schema(todo.schema).parquet(path)
+        for k in range(slices):
+            part = todo.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k)
+            answers = screener.screen(part.drop("asked")).join(part.select("key", "asked"), "key")
+            self.append(answers, stage, slot, mark, ord_)
+        return _asked(requests).select("key", "asked").join(self.read(stage, slot, mark), ["key", "asked"]).drop("asked")

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import modeljson
 from ..operators import adjudicate, batches, dedupe, review, screening
+from ..sinks import record_files
 from .log import ResponseLog, fingerprint
 from .state import read_json, update_json
 
@@ -30,6 +32,7 @@ class Outcome:
     records: DataFrame
     summary: DataFrame
     review: DataFrame
+    disputes: DataFrame
 
 
 def _manual(status: str = "status"):
@@ -39,8 +42,9 @@ def _manual(status: str = "status"):
 def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners: dict[str, object], folder: str, limit: int = batches.LIMIT, tell: Callable[[str, dict], None] = lambda kind, what: None) -> Outcome:
     """fragments: target, ord (whole number, unique in a target), piece_id, source_file, repo_dir, original_text.
 
-    screeners: llm1, llm2, llm3. folder: shared by driver and executors; holds logs, batches and state. Of fragments with
-    one piece_id in a target the last is looked up, though batches keep all.
+    screeners: llm1, llm2, llm3. folder: shared by driver and executors; holds logs, batches, state and what was found: disputes,
+    final_records, records (JSON lines by target), target_state (a row for each target) and manual_review, a queue that grows.
+    Of fragments with one piece_id in a target the last is looked up, though batches keep all.
     """
     mark = fingerprint(version=VERSION, themes=themes, limit=limit, corpus=fragments.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*sorted(fragments.columns)))).first().asDict())
     state = f"{folder}/run_state.json"
@@ -54,8 +58,9 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
 
     def ask(stage: str, slot: str, requests: DataFrame) -> DataFrame:
         log = ResponseLog(spark, f"{folder}/{stage}_{slot}")
-        answers = log.ask(screeners[slot], requests, stage, slot, mark, turn)
-        left = log.pending(requests, stage, slot, mark).count()
+        who = fingerprint(version=VERSION, model=screeners[slot].model)
+        answers = log.ask(screeners[slot], requests, stage, slot, who, turn)
+        left = log.pending(requests, stage, slot, who).count()
         tell("answers", {"stage": stage, "slot": slot, "pending": left})
         if left:
             raise Paused(f"{stage}, {slot}: {left} requests without an answer")
@@ -101,6 +106,8 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
         both = adjudicate.pair_verdicts(verdicts["llm1"], verdicts["llm2"], keys)
         agreed, disputed = adjudicate.consensus(both), adjudicate.disputes(both)
         disputed = disputed.withColumn("dispute_key", F.concat_ws("::", "target", "dispute_key"))
+        disputed.write.mode("overwrite").parquet(f"{folder}/disputes")
+        disputed = spark.read.parquet(f"{folder}/disputes")
         texts = disputed.join(looked_up.select("target", "piece_id", "original_text"), ["target", "piece_id"])
         prompt = screening.arbitration_prompt(F.col("piece_id"), F.col("theme"), F.col("original_text"), F.col("llm1_result"), F.col("llm2_result"))
         answers = ask("arbitration", "llm3", texts.select(F.col("dispute_key").alias("key"), prompt.alias("prompt"), "original_text", "theme"))
@@ -116,8 +123,24 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
         for s in JUDGES:
             rows = asked[f"targeted_{s}"].select("key", "piece_ids", F.lit("").alias("source_file"), "theme", names.alias("themes"), "status", "error")
             found = found.unionByName(review.review_entries(rows, looked_up, "targeted"))
+        found = found.dropDuplicates(["manual_review_key"])
+        queue = f"{folder}/manual_review"
+        try:
+            known = spark.read.parquet(queue).select("manual_review_key")
+            found.join(known, "manual_review_key", "left_anti").write.mode("append").parquet(queue)
+        except AnalysisException:
+            found.write.parquet(queue)
+        found = spark.read.parquet(queue)
+        record_files.write_records(final, f"{folder}/records")
+        entries = found.select(F.regexp_extract("manual_review_key", "^[^:]*::(.*?)::", 1).alias("target"))
+        parts = {
+            "repo_dir_count": fragments.select("target", "repo_dir").distinct(), "fragment_count": fragments, "batch_count": b, "candidate_pair_count": pairs,
+            "consensus_count": agreed, "dispute_count": disputed, "manual_review_count": entries,
+        }
+        summary = adjudicate.full_summary(parts, final).withColumns({"is_completed": F.lit(True), "updated_at": F.current_timestamp()})
+        summary.write.mode("overwrite").parquet(f"{folder}/target_state")
         phase("completed")
-        return Outcome(final, adjudicate.target_summary(final), found.dropDuplicates(["manual_review_key"]))
+        return Outcome(final, spark.read.parquet(f"{folder}/target_state"), found, disputed)
     except Exception as x:
         update_json(spark, state, phase="failed", last_error=str(x)[:500])
         raise

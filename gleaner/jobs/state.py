@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one in a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -40,10 +52,11 @@ def write_json(spark: SparkSession, path: str, value: dict) -> dict:
         out.write((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(q, p):
-        raise OSError(f"could not move {path}.new into place")
+    # one step: the path holds the old state or the new one, never none
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(q, p, how)
     return value
 
 

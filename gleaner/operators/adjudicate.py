@@ -42,6 +42,21 @@ def merge_records(records: DataFrame, order: str, keys: tuple[str, ...] = ("piec
     return last_wins(records.where(F.trim("piece_id") != ""), list(keys), [order]).drop(order)
 
 
+def full_summary(parts: dict[str, DataFrame], records: DataFrame) -> DataFrame:
+    """(target, a count for each of parts, final_record_count, final_piece_count, arbitrated_keep_count), one row per target.
+
+    parts: name of the count -> rows with a column target. One aggregation over the union of per-target counts.
+    """
+    rows = None
+    for name, df in parts.items():
+        one = df.groupBy("target").agg(F.count(F.lit(1)).alias("n")).select("target", F.lit(name).alias("what"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    sums = rows.groupBy("target").agg(*(F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name) for name in parts))
+    found = target_summary(records).withColumnsRenamed({"final_count": "final_record_count", "piece_count": "final_piece_count"}).drop("manual_review_count")
+    more = ("final_record_count", "final_piece_count", "arbitrated_keep_count")
+    return sums.join(found, "target", "left").select("target", *parts, *(F.coalesce(c, F.lit(0)).alias(c) for c in more))
+
+
 def target_summary(records: DataFrame, by: str = "target") -> DataFrame:
     return records.groupBy(by).agg(
         F.count(F.lit(1)).alias("final_count"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,43 @@ def abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(at), lambda x: x["w"]), " ")
 
 
+WORK = (
+    "id string, doi string, display_name string, publication_year int, type string, authorships array<struct<author: struct<display_name: string>>>, "
+    "primary_location struct<source: struct<display_name: string>, landing_page_url: string>, abstract_inverted_index map<string, array<int>>, cited_by_count int"
+)
+
+
+def normalize_works(works: DataFrame, payload: str = "payload") -> DataFrame:
+    """works with source, id, openalex_id, doi, title, year, type, authors, journal, abstract and cited_by_count from their JSON."""
+    w = F.from_json(payload, WORK)
+    names = F.filter(F.transform(w["authorships"], lambda a: a["author"]["display_name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    return works.select(
+        *(c for c in works.columns if c != payload), F.lit("openalex").alias("source"), w["id"].alias("id"), work_id(w["id"]).alias("openalex_id"),
+        F.coalesce(doi(w["doi"]), F.lit("")).alias("doi"), F.coalesce(w["display_name"], F.lit("")).alias("title"), w["publication_year"].alias("year"), w["type"].alias("type"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.coalesce(w["primary_location"]["source"]["display_name"], F.lit("")).alias("journal"),
+        F.coalesce(abstract(w["abstract_inverted_index"]), F.lit("")).alias("abstract"), F.coalesce(w["cited_by_count"], F.lit(0)).alias("cited_by_count"),
+    )
+
+
+def fetch_works(asks: DataFrame, fetcher: Callable[[str, int, int], list[str]], per_page: int = 50, partitions: int = 8) -> DataFrame:
+    """(filter, page, payload): asks' filters fetched on executors, page after page until one isn't full. fetcher(filter, per_page, page) -> JSON works.
+
+    Services may answer differently a second time: write the result before using it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ask in b.column(0).to_pylist():
+                page, got = 1, [""] * per_page
+                while len(got) == per_page:
+                    got = fetcher(ask, per_page, page)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array([ask] * len(got)), pa.array([page] * len(got), pa.int32()), pa.array(got, pa.string())], ["filter", "page", "payload"])
+                    page += 1
+
+    return asks.select("filter").repartition(partitions, "filter").mapInArrow(run, "filter string, page int, payload string")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, round_index: int, via: str) -> DataFrame:
     """(work, parents, n_parents, discovered_round, discovered_via).
 

@@ -59,8 +59,14 @@ def _phase(requests: Column, workers: int, seconds: int) -> Column:
     return F.ceil(requests / max(1, workers)) * max(1, seconds)
 
 
-def timing(overview: DataFrame, llm1_workers: int, llm2_workers: int, seconds: int = REQUEST_SECONDS, share: float = TARGETED_SHARE, limit: int = LIMIT) -> DataFrame:
-    """(token, batch_count, fragment_count, targeted_batch_count, lower_bound_seconds) for each target."""
+def timing(overview: DataFrame, llm1_workers: int, llm2_workers: int, seconds: int = REQUEST_SECONDS, share: float = TARGETED_SHARE, limit: int = LIMIT, total: DataFrame | None = None) -> DataFrame:
+    """(token, batch_count, fragment_count, targeted_batch_count, lower_bound_seconds) for each target.
+
+    total: one row of COUNTS, which stands as a target (token "") where there are no targets.
+    """
+    if total is not None:
+        alone = total.join(overview.limit(1).select(F.lit(True).alias("_any")), F.lit(True), "left_anti")  # one row against one at most
+        overview = overview.unionByName(alone.select(F.lit("").alias("token"), *COUNTS), allowMissingColumns=True)
     b = overview.withColumn("batch_count", estimated_batches(F.col("batch_count"), F.col("text_file_count"), F.col("text_char_count"), limit))
     fragments = F.when(F.col("fragment_count") > 0, F.col("fragment_count")).otherwise(F.greatest("text_file_count", "batch_count"))
     b = b.withColumn("fragment_count", fragments).withColumn("targeted_batch_count", F.ceil(F.col("batch_count") * max(0.0, share)).cast("bigint"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -84,25 +85,26 @@ def step(p: Progress, action: str, target: str = "", cursor: str | None = None,
 
 
 def replay(actions: DataFrame, targets: tuple[str, ...]) -> DataFrame:
-    """(project, status, current, n_completed, run_count, piece_count, errors) from actions (project, seq, action, target, delta).
+    """(project, status, current, n_completed, cursor, last_piece, note, run_count, piece_count, errors) from actions.
 
+    actions: project, seq, action, target, delta; cursor, piece and note where there are such columns (null: unchanged).
     A refused action changes nothing and counts as an error.
     """
 
     def row(project, p: Progress, errors: int) -> dict:
-        return {"project": project, "status": p.status, "current": p.current, "n_completed": len(p.completed), "run_count": p.run_count, "piece_count": p.piece_count, "errors": errors}
+        return {"project": project, "status": p.status, "current": p.current, "n_completed": len(p.completed), "cursor": p.cursor, "last_piece": p.last_piece, "note": p.note, "run_count": p.run_count, "piece_count": p.piece_count, "errors": errors}
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, p, errors = None, Progress(targets=targets), 0
         for f in frames:
             out = []
-            for project, action, target, delta in zip(f.project, f.action, f.target, f.delta):
+            for project, action, target, delta, *more in zip(f.project, f.action, f.target, f.delta, f.cursor, f.piece, f.note):
                 if project != now:
                     if now is not None:
                         out.append(row(now, p, errors))
                     now, p, errors = project, Progress(targets=targets), 0
                 try:
-                    p = step(p, action, target or "", delta=int(delta))
+                    p = step(p, action, target or "", *more, delta=int(delta))
                 except ProgressError:
                     errors += 1
             if out:
@@ -110,5 +112,6 @@ def replay(actions: DataFrame, targets: tuple[str, ...]) -> DataFrame:
         if now is not None:
             yield pd.DataFrame([row(now, p, errors)])
 
-    log = actions.select("project", "seq", "action", "target", "delta").repartition("project").sortWithinPartitions("project", "seq")
-    return log.mapInPandas(fold, "project long, status string, current string, n_completed long, run_count long, piece_count long, errors long")
+    more = [F.col(c) if c in actions.columns else F.lit(None).cast("string").alias(c) for c in ("cursor", "piece", "note")]
+    log = actions.select("project", "seq", "action", "target", "delta", *more).repartition("project").sortWithinPartitions("project", "seq")
+    return log.mapInPandas(fold, "project long, status string, current string, n_completed long, cursor string, last_piece string, note string, run_count long, piece_count long, errors long")

@@ -28,6 +28,7 @@ class RuleScreener:
     """Deterministic: payload(requests' columns) is the answer."""
 
     payload: Column
+    model: str = "rule"
 
     def screen(self, requests: DataFrame) -> DataFrame:
         return requests.select("key", F.lit("ok").alias("status"), self.payload.alias("payload"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
@@ -38,6 +39,7 @@ class ReplayScreener:
     """Recorded answers (key, status, payload, error, attempts, ord): of several for a key the last holds."""
 
     recorded: DataFrame
+    model: str = "recorded"
 
     def screen(self, requests: DataFrame) -> DataFrame:
         last = last_wins(self.recorded, ["key"], ["ord"]).drop("ord")
@@ -48,13 +50,17 @@ class FormatError(ValueError):
     """An answer that can't be read: the only error that the fallback is asked about."""
 
 
+class RequestError(RuntimeError):
+    """A request that the service refused: asking again the same way won't help."""
+
+
 @dataclass(frozen=True)
 class RemoteScreener:
     """Calls make_client()(prompt, key_name) -> text on executors, `threads` at a time in each partition.
 
     Keys rotate from an offset by partition. Answers that `check` rejects (FormatError) go to the fallback up to
     `retries` times and then become status "manual"; network errors are tried again `network_retries` times and then
-    become status "error". Tasks may run twice, so callers log answers and read them back once for each key.
+    become status "error", as requests that the service refuses (RequestError) do at once. Tasks may run twice, so callers log answers and read them back once for each key.
     """
 
     make_client: Callable[[], Callable[[str, str], str]]
@@ -66,6 +72,8 @@ class RemoteScreener:
     retries: int = 3
     network_retries: int = 5
     wait: float = 0.0
+    #: part of the log's fingerprint: answers of another model don't count
+    model: str = ""
 
     def screen(self, requests: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +104,14 @@ class RemoteScreener:
                     error = str(x)
                 except OSError as x:
                     return key, "error", None, f"network: {x}", 1
+                except RequestError as x:
+                    return key, "error", None, f"request: {x}", 1
                 if fallback is None:
                     return key, "format_error", None, error, 1
                 for k in range(self.retries):
                     try:
                         return key, "fallback", ask(fallback, prompt, name), error, k + 2
-                    except (FormatError, OSError):
+                    except (FormatError, OSError, RequestError):
                         continue
                 return key, "manual", None, error, self.retries + 1
 

@@ -115,3 +115,23 @@ def test_citations(spark):
     index = F.create_map(F.lit("Rain"), F.array(F.lit(0)), F.lit("ritual"), F.array(F.lit(1)))
     row = spark.range(1).select(citations.abstract(index), citations.doi(F.lit("https://doi.org/10.1234/demo")), citations.work_id(F.lit("https://openalex.org/W123"))).first()
     assert tuple(row) == ("Rain ritual", "10.1234/demo", "W123")
+
+
+def test_works(spark):
+    work = {
+        "id": "https://openalex.org/W123", "doi": "https://doi.org/10.1234/demo", "display_name": "Ritual and Rain", "publication_year": 2024, "type": "article",
+        "authorships": [{"author": {"display_name": "Li Ming"}}, {"author": {}}, {}], "primary_location": {"source": {"display_name": "Journal of Ritual Studies"}, "landing_page_url": "https://example.com"},
+        "abstract_inverted_index": {"Rain": [0], "ritual": [1]}, "cited_by_count": 8,
+    }
+    pages = {"a": [json.dumps(work)] * 3, "b": ["{}"], "c": []}
+
+    def fetcher(ask, per_page, page):
+        return pages[ask][(page - 1) * per_page : page * per_page]
+
+    asks = spark.createDataFrame([("a",), ("b",), ("c",)], "filter string")
+    got = citations.normalize_works(citations.fetch_works(asks, fetcher, per_page=2, partitions=2)).collect()
+    assert sorted((r["filter"], r.page) for r in got) == [("a", 1), ("a", 1), ("a", 2), ("b", 1)]
+    r = next(r for r in got if r["filter"] == "a")
+    assert (r.doi, r.authors, r.abstract, r.openalex_id, r.journal, r.year, r.cited_by_count) == ("10.1234/demo", ["Li Ming"], "Rain ritual", "W123", "Journal of Ritual Studies", 2024, 8)
+    r = next(r for r in got if r["filter"] == "b")
+    assert (r.id, r.doi, r.authors, r.abstract, r.cited_by_count) == (None, "", [], "", 0)

@@ -1,12 +1,18 @@
 import json
 import os
+import threading
+from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.jobs import run as job
 from gleaner.jobs.state import read_json, write_json
-from gleaner.operators.screening import RemoteScreener
+from gleaner.jobs.log import ResponseLog
+from gleaner.operators.screening import FormatError, RemoteScreener, RequestError, RuleScreener
+from gleaner.sinks import record_files
+from gleaner.sources.chat_client import MAX_TOKENS, ChatClient
 
 THEMES = ["唐宋冬雷题咏", " ", "other"]
 SCHEMA = "target string, ord bigint, piece_id string, source_file string, repo_dir string, original_text string"
@@ -61,12 +67,85 @@ def test_dual_screening_reuse_and_resume(spark, tmp_path):
     assert calls(log) - before == 1 + 2 + 1
     (r,) = out.records.collect()
     assert (r.target, r.piece_id, r.matched_theme, r.judgment, r.note, r.source_file) == ("KR4c", "1a", "唐宋冬雷题咏", "consensus", "llm1: r | llm2: r", "测试唐诗")
-    assert out.summary.first().piece_count == 1 and out.review.count() == 0 and told[-1] == {"phase": "completed"}
+    assert out.review.count() == 0 and told[-1] == {"phase": "completed"}
+    s = {r.target: r for r in out.summary.collect()}
+    assert s["KR4c"].asDict() | {"updated_at": None} == {"target": "KR4c", "repo_dir_count": 1, "fragment_count": 2, "batch_count": 1, "candidate_pair_count": 1, "consensus_count": 1, "dispute_count": 1, "manual_review_count": 0, "final_record_count": 1, "final_piece_count": 1, "arbitrated_keep_count": 0, "is_completed": True, "updated_at": None}
+    assert s["KR4d"].fragment_count == 1 and s["KR4d"].final_record_count == 0
+    assert [(r.piece_id, r.target) for r in out.disputes.collect()] == [("1b", "KR4c")]
+    stored = record_files.project_records(spark, f"{work}/records", "piece_id string, matched_theme string, judgment string").collect()
+    assert [(r.target, r.piece_id, r.judgment) for r in stored] == [("KR4c", "1a", "consensus")]
     n = calls(log)
     assert job.run(spark, corpus(spark), THEMES, screeners(log), work).records.count() == 1 and calls(log) == n
     changed = corpus(spark).withColumn("original_text", F.concat("original_text", F.lit("。")))
     job.run(spark, changed, THEMES, screeners(log), work)
     assert calls(log) > n
+    # a text that changes in one target asks for that target's batch alone, of either screener
+    n = calls(log)
+    job.run(spark, changed.withColumn("original_text", F.when(F.col("target") == "KR4d", "another").otherwise(F.col("original_text"))), THEMES, screeners(log), work)
+    assert calls(log) - n == 2
+    # another model is asked anew
+    n, other = calls(log), screeners(log)
+    other["llm1"] = replace(other["llm1"], model="another")
+    job.run(spark, changed, THEMES, other, work)
+    assert calls(log) - n == 3
+
+
+def test_answers_are_kept_slice_by_slice(spark, tmp_path):
+    log, todo = ResponseLog(spark, str(tmp_path / "log")), spark.range(40).select(F.col("id").cast("string").alias("key"), F.lit("p").alias("prompt"))
+
+    class Dies:
+        left = 2
+
+        def screen(self, requests):
+            if not self.left:
+                raise RuntimeError("killed")
+            self.left -= 1
+            return RuleScreener(F.lit("{}")).screen(requests)
+
+    with pytest.raises(RuntimeError):
+        log.ask(Dies(), todo, "coarse", "llm1", "m", slice_rows=10)
+    left = log.pending(todo, "coarse", "llm1", "m").count()
+    assert 0 < left < 40
+    assert log.ask(RuleScreener(F.lit("{}")), todo, "coarse", "llm1", "m", slice_rows=10).count() == 40
+
+
+class Service(BaseHTTPRequestHandler):
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.seen.append((body, self.headers["Authorization"]))
+        prompt = body["messages"][0]["content"]
+        code = 422 if "response_format" in body and prompt == "plain" else 500 if prompt == "fail" else 200
+        content = [{"type": "text", "text": '{"a"'}, {"text": ": 1}"}] if prompt == "parts" else '{"a": 1}'
+        out = json.dumps({"choices": [] if prompt == "none" else [{"message": {"content": content}}]}).encode()
+        self.send_response(code)
+        self.send_header("Content-Length", str(len(out)))
+        self.end_headers()
+        self.wfile.write(out)
+
+    def log_message(self, *a):
+        pass
+
+
+def test_client():
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = ChatClient(f"http://127.0.0.1:{server.server_port}", "m", MAX_TOKENS["coarse"])
+        assert ask("x", "k1") == '{"a": 1}' and ask("parts", "k2") == '{"a": 1}'
+        assert Service.seen[-1][1] == "Bearer k2" and Service.seen[-1][0]["max_tokens"] == 400 and Service.seen[-1][0]["temperature"] == 0
+        n = len(Service.seen)
+        assert ask("plain", "k") == '{"a": 1}' and len(Service.seen) == n + 2 and "response_format" not in Service.seen[-1][0]
+        with pytest.raises(RequestError, match="HTTP 500"):
+            ask("fail", "k")
+        with pytest.raises(FormatError):
+            ask("none", "k")
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(OSError):
+        ask("x", "k")
 
 
 def test_exhausted_fallback_keeps_pieces_for_review(spark, tmp_path):

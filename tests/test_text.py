@@ -1,5 +1,4 @@
 import random
-import re
 import string
 
 from pyspark.sql import functions as F
@@ -29,26 +28,20 @@ def test_strip_and_lines(spark):
     assert [[x for x in g if x] for g in got] == [[x for x in t.splitlines() if x] for t in rows]
 
 
-def plain_clean(text, compact):
-    out = []
-    for raw in text.splitlines():
-        line = raw.strip()
-        if raw.startswith("#+") or not line:
-            continue
-        rest = line.lstrip("#").strip()
-        if line[0] == "#" and rest and re.search(r"(?i)\bKR\d+[a-z]?\d*(?:_[A-Za-z0-9\-]+)*\b|_tls_|^pb:", rest):
-            continue
-        body = re.sub("<pb:[^>]+>", "", line).replace("¶", "")
-        body = "".join(body.split()) if compact else body.strip()
-        if body:
-            out.append(body)
-    return "\n".join(out)
-
-
-def test_cleaning_against_plain_python(spark):
-    rows = texts(600, 5)
-    for compact in (False, True):
-        assert column(spark, rows, fragments.clean_text(F.col("t"), compact)) == [plain_clean(t, compact).strip() for t in rows]
+CLEAN = [  # text, cleaned, compact
+    ("", "", ""), (" \u3000\n\x85\t", "", ""), ("a b", "a b", "ab"), ("\u3000a\u3000b\xa0\x1f", "a\u3000b", "ab"),
+    ("#+X: y\nkept", "kept", "kept"), (" #+X: y", "#+X: y", "#+X:y"), ("a\r\nb\x0bc\x1dd\u2028e", "a\nb\nc\nd\ne", "a\nb\nc\nd\ne"),
+    ("# KR1a0001_2", "", ""), ("## kr3j", "", ""), ("# about KR1", "", ""), ("# xKR1a", "# xKR1a", "#xKR1a"), ("#_tls_ x", "", ""), ("# pb: 1", "", ""), ("# a pb: 1", "# a pb: 1", "#apb:1"),
+    ("#", "#", "#"), ("# plain", "# plain", "#plain"), ("KR1a0001 in a line", "KR1a0001 in a line", "KR1a0001inaline"),
+    ("<pb:K1_1a>", "", ""), ("a<pb:K1_1a>b¶", "ab", "ab"), ("<pb:>¶ c", "<pb:> c", "<pb:>c"), ("¶\n¶ x ¶", "x", "x"), ("<pb:a\nb>", "<pb:a\nb>", "<pb:a\nb>"),
+    ("正 文 \n\n 二", "正 文\n二", "正文\n二"),
+]
+
+
+def test_cleaning(spark):
+    rows = [t for t, _, _ in CLEAN]
+    assert column(spark, rows, fragments.clean_text(F.col("t"))) == [c for _, c, _ in CLEAN]
+    assert column(spark, rows, fragments.clean_text(F.col("t"), compact=True)) == [c for _, _, c in CLEAN]
 
 
 def test_pages(spark):
