@@ -56,6 +56,10 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
         update_json(spark, state, phase=name, fingerprint=mark, runs=turn + 1, last_error="")
         tell("phase", {"phase": name})
 
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     def ask(stage: str, slot: str, requests: DataFrame) -> DataFrame:
         log = ResponseLog(spark, f"{folder}/{stage}_{slot}")
         who = fingerprint(version=VERSION, model=screeners[slot].model)
@@ -84,7 +88,7 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
         for s in JUDGES:
             judged = F.coalesce(modeljson.coarse(F.col("payload"), names, by_index)["themes"], F.transform(names, lambda t: F.struct(t.alias("theme"), F.lit(False).alias("is_relevant"))))
             positive.append(screening.coarse_positives(asked[s].select(F.col("key").alias("batch_key"), "status", judged.alias("themes")), ["batch_key"]))
-        pairs = screening.candidate_pairs(*positive).join(b, "batch_key").withColumn("key", F.concat_ws("::", "batch_key", "theme"))
+        pairs = stored("pairs", screening.candidate_pairs(*positive).join(b, "batch_key").withColumn("key", F.concat_ws("::", "batch_key", "theme")))
 
         phase("targeted_screening")
         looked_up = dedupe.last_wins(fragments.select("target", "piece_id", "ord", "source_file", "original_text"), ["target", "piece_id"], ["ord"])
@@ -103,11 +107,10 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
 
         phase("arbitration")
         keys = ["target", "piece_id", "theme"]
-        both = adjudicate.pair_verdicts(verdicts["llm1"], verdicts["llm2"], keys)
+        both = stored("verdicts", adjudicate.pair_verdicts(verdicts["llm1"], verdicts["llm2"], keys))
         agreed, disputed = adjudicate.consensus(both), adjudicate.disputes(both)
         disputed = disputed.withColumn("dispute_key", F.concat_ws("::", "target", "dispute_key"))
-        disputed.write.mode("overwrite").parquet(f"{folder}/disputes")
-        disputed = spark.read.parquet(f"{folder}/disputes")
+        disputed = stored("disputes", disputed)
         texts = disputed.join(looked_up.select("target", "piece_id", "original_text"), ["target", "piece_id"])
         prompt = screening.arbitration_prompt(F.col("piece_id"), F.col("theme"), F.col("original_text"), F.col("llm1_result"), F.col("llm2_result"))
         answers = ask("arbitration", "llm3", texts.select(F.col("dispute_key").alias("key"), prompt.alias("prompt"), "original_text", "theme"))
@@ -116,8 +119,7 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
 
         final = adjudicate.final_records(agreed, disputed, rulings, keys).withColumnRenamed("theme", "matched_theme")
         final = final.join(looked_up.drop("ord"), ["target", "piece_id"])
-        final.write.mode("overwrite").parquet(f"{folder}/final_records")
-        final = spark.read.parquet(f"{folder}/final_records")
+        final = stored("final_records", final)
         coarse_rows = [asked[s].join(b.withColumnRenamed("batch_key", "key"), "key").select("key", "piece_ids", "source_file", F.lit(None).cast("string").alias("theme"), names.alias("themes"), "status", "error") for s in JUDGES]
         found = review.review_entries(coarse_rows[0].unionByName(coarse_rows[1]), looked_up, "coarse")
         for s in JUDGES:
@@ -130,7 +132,7 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
             found.join(known, "manual_review_key", "left_anti").write.mode("append").parquet(queue)
         except AnalysisException:
             found.write.parquet(queue)
-        found = spark.read.parquet(queue)
+        found = spark.read.schema(found.schema).parquet(queue)
         record_files.write_records(final, f"{folder}/records")
         entries = found.select(F.regexp_extract("manual_review_key", "^[^:]*::(.*?)::", 1).alias("target"))
         parts = {
@@ -138,9 +140,9 @@ def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners:
             "consensus_count": agreed, "dispute_count": disputed, "manual_review_count": entries,
         }
         summary = adjudicate.full_summary(parts, final).withColumns({"is_completed": F.lit(True), "updated_at": F.current_timestamp()})
-        summary.write.mode("overwrite").parquet(f"{folder}/target_state")
+        summary = stored("target_state", summary)
         phase("completed")
-        return Outcome(final, spark.read.parquet(f"{folder}/target_state"), found, disputed)
+        return Outcome(final, summary, found, disputed)
     except Exception as x:
         update_json(spark, state, phase="failed", last_error=str(x)[:500])
         raise
