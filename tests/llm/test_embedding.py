@@ -65,3 +65,18 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, False)]
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_dense_clusters_of_two_dimensions(spark):
+    r, data = np.random.default_rng(3), []
+    for dim in (16, 96):
+        x = r.normal(size=dim) + 0.22 * r.normal(size=(120, dim))
+        data += [(len(data) + i, [float(v) for v in np.float32(row)], 1) for i, row in enumerate(x)]
+    n, comp, links = brute(data, 0.93)
+    assert len(links) > 5000
+    df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "'mine' as rep", "'mine' as codes", "'mine' as n_links", "'mine' as tab")
+    for block in (8192, 50):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block=block).collect()}
+        assert all(got[i].n_links <= n[i] for i in n)  # none below the threshold
+        assert sum(x.n_links for x in got.values()) >= 0.97 * sum(n.values())
+        assert {i: x.component_id for i, x in got.items()} == comp
