@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous, running_sum
+from .ordered import run_numbers, running_sum
 
 LIMIT = 500
 
@@ -40,12 +40,10 @@ def assign_batches(fragments: DataFrame, target: str = "target", order: str = "o
     """fragments with batch_ord, from 1 within the target. order: a whole number, unique in a target.
 
     Runs of equal `same` are numbered through blocks of the order; each run is then folded as a sorted stream of
-    lengths, in constant memory however long it is.
+    lengths, in constant memory however long it is. Only lengths take that path; texts join by target and order, which
+    no long run makes uneven. A table with a row for each run then gives the first number of each.
     """
-    keys = list(same)
-    f = previous(fragments, [target], order, keys)
-    f = f.withColumn("_new", F.when(F.struct(*keys).eqNullSafe(F.struct(*(F.col("prev_" + k).alias(k) for k in keys))), 0).otherwise(1))
-    f = running_sum(f, [target], order, "_new", "_run").select(target, "_run", order, length)
+    f = run_numbers(fragments.select(target, order, *same, length), [target], order, list(same), "_run").select(target, "_run", order, length)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, filled, batch = None, 0, 0
@@ -63,9 +61,9 @@ def assign_batches(fragments: DataFrame, target: str = "target", order: str = "o
     kinds = dict(f.dtypes)
     schema = f"{target} {kinds[target]}, _run {kinds['_run']}, {order} {kinds[order]}, _batch long"
     local = f.repartition(target, "_run").sortWithinPartitions(target, "_run", order).mapInArrow(fold, schema)
-    local = previous(local, [target], order, ["_run", "_batch"])
-    local = local.withColumn("_start", F.when(F.col("prev__run").eqNullSafe(F.col("_run")) & F.col("prev__batch").eqNullSafe(F.col("_batch")), 0).otherwise(1))
-    numbered = running_sum(local, [target], order, "_start", "batch_ord").select(target, order, "batch_ord")
+    runs = local.groupBy(target, "_run").agg((F.max("_batch") + 1).alias("_n"))
+    runs = running_sum(runs, [target], "_run", "_n", "_upto").select(target, "_run", (F.col("_upto") - F.col("_n") + 1).alias("_first"))
+    numbered = local.join(runs, [target, "_run"]).select(target, order, (F.col("_first") + F.col("_batch")).alias("batch_ord"))
     return fragments.join(numbered, [target, order])
 
 
