@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embedding_dedup, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_store
+from . import chat, decontam, embedding_dedup, hard_negatives, line_dedup, merkle, packing, quality, sharding, simhash, suffix_dedup, token_store, topk
 from .common import table
 from .tokens import default_path
 
@@ -58,13 +58,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives.hard_negatives(e.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return merkle.manifest(docs, altered)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup, op8_token_store, op9_packing, op10_quality)
+    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_simhash, op4_sharding, op5_chat_collapse, op6_decontamination, op7_line_dedup, op8_token_store, op9_packing, op10_quality, op11_hard_negatives, op12_topk, op13_merkle)
 }
 
 _SCORE = "-ln((('0x' || substr(md5(key || ':' || i), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::double))"
+_SOUND = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_HALVED = "list_transform(range(0, (len(x) + 1) // 2), lambda j: sha256(x[2 * j + 1] || coalesce(x[2 * j + 2], '')))"
+
+
+def _said(c: str) -> str:
+    return f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+
+
 ORACLES = {
     "op1_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
@@ -120,4 +146,36 @@ g as (select doc_id, list(i) gone from c group by doc_id)
 select documents.doc_id, coalesce(len(d.l), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
        md5(case when gone is null then text else array_to_string(list_filter(d.l, lambda x, i: not list_contains(gone, i)), chr(10)) end) as kept_md5
 from documents left join d using (doc_id) left join g using (doc_id)""",
+    "op11_hard_negatives": f"""
+with e as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_WHOLE} v from embeddings where label is not null and {_SOUND}),
+s as materialized (select a.vec_id anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5""",
+    "op12_topk": f"""
+with e as materialized (select vec_id, {_WHOLE} v from embeddings where {_SOUND}),
+s as (select a.vec_id query_id, b.vec_id, list_dot_product(a.v, b.v)::bigint score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
+    "op13_merkle": f"""
+with recursive bits(i, v, n) as (select i, i::bigint, 0 from range(0, 256) r(i) union all
+    select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, n + 1 from bits where n < 8),
+crc as (select list(v order by i) t from bits where n = 8),
+d as (select *, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(0, strlen(doc_id::varchar)), lambda j: ascii(substr(doc_id::varchar, j + 1, 1))::bigint),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c // 256))) % 7 = 0 as altered from documents, crc),
+f as (select *, {_said("doc_id")} || {_said("source")} || {_said("lang")} a, {_said("text")} b from d),
+h as (select doc_id, lang, sha256(a || {_said("n_chars")} || b) leaf, case when altered then sha256(a || {_said("(n_chars + 1)")} || b) end changed from f),
+l as materialized (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 i from h),
+r as (select lang, 0 lvl, list(leaf order by i) x from l group by lang union all select lang, lvl + 1, {_HALVED} from r where len(x) > 1),
+sub as (select lang, lvl height, x[1] subroot, row_number() over (order by lang nulls first) - 1 place from r where len(x) = 1),
+top as (select 0 lvl, list(subroot order by place) x from sub union all select lvl + 1, {_HALVED} from top where len(x) > 1),
+step as materialized (select lang, lvl, lvl as down, null::bigint as place, x from r where len(x) > 1 union all select lang, height + lvl, lvl, place, x from sub, top where len(x) > 1),
+p as (select l.doc_id, l.lang, l.i, l.leaf, 0 lvl, coalesce(changed, leaf) h, '' proof from l union all
+      select p.doc_id, p.lang, p.i, p.leaf, p.lvl + 1,
+             case when (coalesce(place, i) >> down) % 2 = 1 then sha256(x[xor(coalesce(place, i) >> down, 1) + 1] || h) else sha256(h || coalesce(x[xor(coalesce(place, i) >> down, 1) + 1], '')) end,
+             proof || coalesce(x[xor(coalesce(place, i) >> down, 1) + 1], '')
+      from p join step on step.lvl = p.lvl and step.lang is not distinct from p.lang)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from p join sub on sub.lang is not distinct from p.lang, (select x[1] root, lvl tall from top where len(x) = 1) where p.lvl = height + tall""",
 }
