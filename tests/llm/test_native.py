@@ -140,3 +140,32 @@ def test_line_edges(spark):
     # rows that share a doc_id are one document; the row without doc_id comes first of all
     assert got == sorted([(1, ""), (1, ""), (None, "a\nb\nc\nd"), (2, "a\nb"), (3, "x\ny")], key=repr)
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
+
+
+def plain_rows(rows, window=3):
+    """Line dedup of rows, each a document of its own, in the order of doc_id (null first) and then as given."""
+    seen, out = set(), list(rows)
+    for at in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
+        d, t = rows[at]
+        if t is None:
+            continue
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines) - window + 1):
+            k = tuple(lines[i : i + window])
+            if "".join(k).strip(" "):
+                gone |= set(range(i, i + window)) if k in seen else set()
+                seen.add(k)
+        out[at] = (d, "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    cases = [
+        [(1, "x1\nx2\nx3"), (5, "x1\nx2\nx3\ny"), (5, "p\nq\nr\ns")],
+        [(None, "d1\nd2\nd3"), (None, "z0\nd1\nd2\nd3"), (None, "u1\nu2\nu3\nu4\nu5")],
+        [(2, "a\nb\nc"), (2, "a\nb\nc"), (None, "a\nb"), (None, "b\na\nb\nc\nd"), (None, None), (2, "")],
+    ]
+    for rows in cases:
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(plain_rows(rows), key=repr)
+        assert sum(r.n_removed for r in got) > 0
