@@ -7,12 +7,12 @@ bucket of their label are verified by cosine in double precision.
 
 Equal vectors of a label are one class; classes meet, once for each pair: in the first table that brings them
 together, which both can tell from their vectors. A bucket above `block` rows is dealt out as pairs of its
-blocks, so no task gets it whole. A task returns, for each class, how many vectors it linked to and the smallest
-vec_id of its part of the component; never the pairs.
+blocks, so no task gets it whole. A task returns, for each class, how many vectors it linked to and the first
+class of its part of the component; never the pairs.
 
 Defined cases: rows whose label or vector is null, whose vector is empty, all zero or holds null or non-finite
-components link with nothing (n_links 0, own component); vectors of different lengths never meet; repeated rows
-of one vec_id are vectors of their own; a null vec_id has a null component. Other columns pass by.
+components link with nothing (n_links 0, own component); vectors of different lengths never meet; rows that repeat a
+vec_id are vectors of their own, which link with each other like any (a component is named by its smallest vec_id); a null vec_id has a null component. Other columns pass by.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, merge_labels, save
+from .common import merge_labels, save
 from .components import connected_components
 
 
@@ -113,8 +113,9 @@ def near_duplicates(
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     v = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(kind))
     v = v.withColumn("sound", sound).withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.hash("embedding", "label"))
-    classes = v.where("sound").groupBy("h1", "h2", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = save(classes, "classes")
+    classes = v.where("sound").groupBy("h1", "h2", "label", "embedding").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    # a class is known by its number; vec_ids only name components
+    classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,9 @@ def near_duplicates(
         out = coded.select("label", "dim", F.posexplode("codes").alias("_at", "bucket"), *more)
         return out.select("label", "dim", F.expr(f"cast(_at div {1 + probes} as int)").alias("tab"), "bucket", (F.col("_at") % (1 + probes) == 0).alias("filed"), *more)
 
-    sizes = save(filed().groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    # buckets in which nothing can meet are left out before any vector moves
+    sizes = filed().groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("filed").alias("own")).where("rows > 1 and own")
+    sizes = save(sizes.select(*key, F.when(F.col("rows") > block, F.ceil(F.col("rows") / (block // 2))).otherwise(1).cast("int").alias("blocks")), "buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -182,16 +185,17 @@ def near_duplicates(
         hit = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(low[label[hit]])], ["rep", "links", "root"])
 
-    hot = sizes.where(F.col("rows") > block).select(*key, F.ceil(F.col("rows") / (block // 2)).cast("int").alias("blocks"))
-    dealt = filed("rep", "n", "embedding", "codes").join(maybe_broadcast(hot, 100_000), key, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.lit(0)))
-    others = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
-    dealt = dealt.withColumn("pair", F.explode(others)).select(F.xxhash64(*key, "pair").alias("g"), "dim", "tab", "bucket", "pair.bi", "pair.bj", "own", "filed", "rep", "n", "embedding", "codes")
+    visits = filed("rep").join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
+    visits = visits.withColumn("pair", F.explode(others)).select(F.xxhash64(*key, "pair").alias("g"), "tab", "bucket", "pair.bi", "pair.bj", "own", "filed", "rep")
+    dealt = save(visits, "visits").join(coded.select("rep", "dim", "n", "embedding", "codes"), "rep")
     found = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "rep long, links long, root long")
     found = save(found, "found")
     comps = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left")
-    known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("comp"), F.lit(True).alias("sound"))
+    known = classes.select("h1", "h2", "rep", "low", "n").join(links, "rep", "left").join(comps, "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
+    lows = known.groupBy("c").agg(F.min("low").alias("comp"))
+    known = known.join(lows, "c").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "comp", F.lit(True).alias("sound"))
     out = v.select("vec_id", "sound", "h1", "h2").join(known, ["h1", "h2", "sound"], "left")
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))

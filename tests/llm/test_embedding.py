@@ -80,3 +80,11 @@ def test_dense_clusters_of_two_dimensions(spark):
         assert all(got[i].n_links <= n[i] for i in n)  # none below the threshold
         assert sum(x.n_links for x in got.values()) >= 0.97 * sum(n.values())
         assert {i: x.component_id for i, x in got.items()} == comp
+
+
+def test_vectors_of_one_vec_id(spark):
+    """Different vectors that share a vec_id link with each other, and each counts its own links."""
+    near = lambda k: [1.0, 0.01 * k, 0.0, 0.0]
+    data = [(1, near(0), 0), (1, near(1), 0), (2, near(2), 0), (3, near(3), 0), (3, near(3), 0), (7, [0.0, 0.0, 1.0, 0.0], 0), (7, [0.0, 0.0, 0.0, 1.0], 0), (5, [0.0, 0.0, 1.0, 0.05], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, SCHEMA), tables=8).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (3, 4, 1, False), (7, 1, 5, False), (7, 0, 7, True), (5, 1, 5, True)])
