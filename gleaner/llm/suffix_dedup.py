@@ -335,7 +335,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, max_group
     def with_text(some: DataFrame) -> DataFrame:
         want = some.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(F.struct(*_KEY, "n", "at.lo", "at.hi")).alias("want"))
         texts = docs.select("k1", "k2", F.col("text").cast("binary").alias("body"))
-        return texts.join(want, ["k1", "k2"]).select("body", "want").mapInArrow(_pieces_with_text(length, gram), _CUT)
+        # of rows that repeat doc_id and text one gives the text: a piece enters a collection once
+        one = texts.join(want, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.first("want").alias("want"))
+        return one.select("body", "want").mapInArrow(_pieces_with_text(length, gram), _CUT)
 
     cut, runs = with_text(mixed.where(F.col("k") <= max_group)), []
     if mixed.where(F.col("k") > max_group).limit(1).count():

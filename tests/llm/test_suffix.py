@@ -55,3 +55,22 @@ def test_range_min():
     lo = np.random.default_rng(1).integers(0, 499, 300)
     hi = np.minimum(499, lo + np.random.default_rng(2).integers(0, 300, 300))
     assert (suffix_dedup._range_min(x, lo, hi) == [x[a : b + 1].min() for a, b in zip(lo, hi)]).all()
+
+
+def test_repeated_rows_enter_a_collection_once(spark, monkeypatch):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, text)] * 300 + [(2, text[:450] + "#" + text[450:]), (2, text[:450] + "#" + text[450:])]
+    counts, keep = [], suffix_dedup.save
+
+    def save(df, name):
+        out = keep(df, name)
+        if name == "cut":
+            counts.append(out.groupBy("g").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "save", save)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert counts == [2] or counts == []
+    assert got == {(1, 900, 1, b""), (2, 901, 1, b"")}
