@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import flags, modeljson, pytext
 from ..operators import adjudicate, batches, citations, dedupe, fragments, ordered, overview, progress, review, scope, screening, workspace
 from ..sinks import corpus_yaml, record_files
 from ..sources import corpus, records
+from . import run as job
 from . import screen
 from .log import ResponseLog
 from .state import scratch_dir
@@ -464,14 +466,17 @@ def q_target_summary(spark, sf):
     return adjudicate.target_summary(screen.final_records(read(spark, sf, "documents"), ("source",)), "source").withColumnRenamed("source", "target")
 
 
-@query(f"""with recursive {_FINAL}, t as (select source target, count(distinct lang) repo_dir_count from documents group by 1),
+_STATE_SQL = f"""with recursive {_FINAL}, t as (select source target, count(distinct lang) repo_dir_count from documents group by 1),
 n as (select source target, 'f' k, count(*) n from f group by 1 union all select d.source, 'b', count(*) from bt join documents d using (doc_id) group by 1
  union all select d.source, 'p', count(*) from c join documents d using (doc_id) group by 1 union all select source, 'c', count(*) from v where l1 and l2 group by 1
  union all select source, 'd', count(*) from v where l1 <> l2 group by 1 union all select source, 'r', count(*) from fin group by 1
  union all select source, 'i', count(distinct piece_id) from fin group by 1 union all select source, 'a', count(*) from fin where judgment = 'arbitrated' group by 1)
 select target, repo_dir_count, coalesce(sum(n) filter (k = 'f'), 0)::bigint as fragment_count, coalesce(sum(n) filter (k = 'b'), 0)::bigint as batch_count, coalesce(sum(n) filter (k = 'p'), 0)::bigint as candidate_pair_count,
  coalesce(sum(n) filter (k = 'c'), 0)::bigint as consensus_count, coalesce(sum(n) filter (k = 'd'), 0)::bigint as dispute_count, 0::bigint as manual_review_count, coalesce(sum(n) filter (k = 'r'), 0)::bigint as final_record_count,
- coalesce(sum(n) filter (k = 'i'), 0)::bigint as final_piece_count, coalesce(sum(n) filter (k = 'a'), 0)::bigint as arbitrated_keep_count from t left join n using (target) group by target, repo_dir_count""")
+ coalesce(sum(n) filter (k = 'i'), 0)::bigint as final_piece_count, coalesce(sum(n) filter (k = 'a'), 0)::bigint as arbitrated_keep_count from t left join n using (target) group by target, repo_dir_count"""
+
+
+@query(_STATE_SQL)
 def q_target_state(spark, sf):
     d = read(spark, sf, "documents").withColumn("target", F.col("source"))
     b = screen.document_batches(d, ("target",))
@@ -484,6 +489,42 @@ def q_target_state(spark, sf):
     return adjudicate.full_summary(parts, screen.final_records(d, ("target",)))
 
 
+class _Rules:
+    """The rule screeners of `screen` as models that answer in JSON: 1 and 2 judge, 3 rules; some targets get no answer."""
+
+    def __init__(self, which: int, silent: F.Column | None = None):
+        self.which, self.silent, self.model = which, silent, f"rules{which}"
+
+    def screen(self, requests: DataFrame) -> DataFrame:
+        r = requests if self.silent is None else requests.where(~self.silent)
+        yes = lambda c: F.when(c, "T").otherwise("F")
+        if "batch_text" in r.columns:
+            flags = [(F.lit(str(i)), yes(screen.coarse_flags(F.col("batch_text"), F.col("char_count"), F.lit(t))[self.which - 1])) for i, t in screen.THEMES]
+            payload = F.to_json(F.create_map(*(x for pair in flags for x in pair)))
+        elif "pieces" in r.columns:
+            judged = lambda p: screen.targeted_flags(p["original_text"], F.length(p["original_text"]), F.col("theme"))[self.which - 1]
+            payload = F.to_json(F.struct(F.transform("pieces", lambda p: F.struct(p["piece_id"].alias("piece_id"), yes(judged(p)).alias("is_relevant"), F.lit("rule").alias("reason"))).alias("results")))
+        else:
+            payload = F.to_json(F.struct((F.length("original_text") % 2 == 0).alias("is_relevant"), F.lit("rule").alias("reason")))
+        return screening.RuleScreener(payload).screen(r)
+
+
+@query(_STATE_SQL)
+def q_run_commits(spark, sf):
+    # the resumable run over all documents: the second judge is silent for half of the targets, so these fail; a second run
+    # finishes them and takes the others over from the commit table, whose counts are the result
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("target"), F.col("lang").alias("repo_dir"), "text")
+    f = d.select("target", "repo_dir", F.col("doc_id").cast("string").alias("source_file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    f = f.withColumn("original_text", F.trim("line")).where("original_text <> ''")
+    f = f.select("target", (F.col("doc_id") * (1 << 24) + F.col("pos")).alias("ord"), F.format_string("%08d-%05d", "doc_id", "pos").alias("piece_id"), "source_file", "repo_dir", "original_text")
+    folder, themes = scratch_dir(spark), [t for _, t in screen.THEMES]
+    judges = {"llm1": _Rules(1), "llm2": _Rules(2, F.crc32("target") % 2 == 0), "llm3": _Rules(3)}
+    with contextlib.suppress(job.Paused):
+        job.run(spark, f, themes, judges, folder)
+    out = job.run(spark, f, themes, judges | {"llm2": _Rules(2)}, folder)
+    return out.summary.drop("is_completed", "updated_at")
+
+
 @query(f"with recursive {_FINAL} select piece_id, theme as matched_theme, source as target, judgment, note from fin")
 def q_project_records(spark, sf):
     # written as JSON lines, a folder for each target, and read back over all targets
@@ -546,7 +587,21 @@ def action_log(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), action.alias("action"), target.alias("target"), (k % 5).alias("delta"))
 
 
-@query()
+@query("""
+with recursive k as (select user_id project, event_id seq, ['start', 'checkpoint', 'complete', 'pause', 'start', 'complete'][event_id % 6 + 1] act, regexp_extract(props, '-?\\d+')::bigint k from events),
+a as (select project, row_number() over (partition by project order by seq) rn, act, ['KR1a', 'KR2b', '', 'KR9z'][k % 4 + 1] tgt, k % 5 delta from k),
+r as (select distinct project, 0::bigint rn, 'pending' status, []::varchar[] done, '' cur, 0::bigint runs, 0::bigint pieces, 0::bigint errors from k union all
+  select project, rn, case when not ok then status when len(done2) = 3 then 'completed' when cur3 <> '' then case when act = 'pause' then 'paused' else 'running' end
+                           when len(done2) > 0 then case when act in ('start', 'checkpoint') then 'running' else 'paused' end else 'pending' end,
+         done2, case when ok then cur3 else cur end, runs + (ok and act = 'start' and chosen <> cur)::bigint, pieces + case when ok then delta else 0 end, errors + (not ok)::bigint
+  from (select *, case when list_contains(done2, cur2) then '' else cur2 end cur3 from (select *, case when ok and act = 'complete' and not list_contains(done, chosen) then list_append(done, chosen) else done end done2,
+          case when act = 'complete' then '' when act = 'pause' then coalesce(chosen, '') else chosen end cur2
+    from (select *, tgt <> 'KR9z' and (act = 'pause' or (chosen is not null and (act = 'complete' or not list_contains(done, chosen)))) ok
+      from (select r.project, a.rn, r.status, r.done, r.cur, r.runs, r.pieces, r.errors, a.act, a.tgt, a.delta,
+              coalesce(nullif(a.tgt, ''), nullif(r.cur, ''), case when a.act = 'start' then list_filter(['KR1a', 'KR2b', 'KR3c'], lambda t: not list_contains(r.done, t) and t <> r.cur)[1] end) chosen
+            from r join a on a.project = r.project and a.rn = r.rn + 1)))))
+select project, status, cur as "current", len(done)::bigint as n_completed, '' as "cursor", '' as last_piece, '' as note, runs as run_count, pieces as piece_count, errors
+from r qualify row_number() over (partition by project order by rn desc) = 1""")
 def q_progress_replay(spark, sf):
     return progress.replay(action_log(read(spark, sf, "events")), ("KR1a", "KR2b", "KR3c"))
 

@@ -3,7 +3,8 @@
 Remote answers can't be asked for twice with the same result, so a job first appends them here and only
 uses what it reads back. A later run asks only for requests that have no answer under the same fingerprint (pipeline
 version and model) to the same prompt: a changed text, theme or prompt is asked anew, all else is not. Requests go out in
-slices, each appended when it is done, so a run that is killed midway loses one slice at most.
+slices, each appended when it is done. Screeners that are `durable` write each answer to a journal as it comes, so a run
+or task that is killed midway loses none: the next run merges what journals hold before it asks.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import last_wins
+from ..operators.screening import ANSWERED
+from ..sources.journal import Journal
+from .state import delete, exists
 
-SCHEMA = "stage string, slot string, fingerprint string, key string, asked string, status string, payload string, error string, attempts int, ord bigint"
-ANSWERED = ("ok", "fallback", "manual")
+ABOUT = ("model", "provider", "usage")
+SCHEMA = "stage string, slot string, fingerprint string, key string, asked string, status string, payload string, error string, attempts int, ord bigint, model string, provider string, usage string"
 
 
 def fingerprint(**what) -> str:
@@ -36,31 +40,49 @@ class ResponseLog:
         self.spark, self.path = spark, path
 
     def read(self, stage: str, slot: str, mark: str) -> DataFrame:
-        """The last answer for each key and prompt; (key, asked, status, payload, error, attempts)."""
+        """The last answer for each key and prompt; (key, asked, status, payload, error, attempts, model, provider, usage)."""
         try:
             log = self.spark.read.schema(SCHEMA).parquet(self.path)
         except AnalysisException:
             log = self.spark.createDataFrame([], SCHEMA)
         own = log.where((F.col("stage") == stage) & (F.col("slot") == slot) & (F.col("fingerprint") == mark) & F.col("status").isin(*ANSWERED))
-        return last_wins(own.select("key", "asked", "status", "payload", "error", "attempts", "ord"), ["key", "asked"], ["ord"]).drop("ord")
+        return last_wins(own.select("key", "asked", "status", "payload", "error", "attempts", *ABOUT, "ord"), ["key", "asked"], ["ord"]).drop("ord")
 
     def pending(self, requests: DataFrame, stage: str, slot: str, mark: str) -> DataFrame:
         return _asked(requests).join(self.read(stage, slot, mark).select("key", "asked"), ["key", "asked"], "left_anti")
 
     def append(self, answers: DataFrame, stage: str, slot: str, mark: str, ord_: int) -> None:
-        a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "asked", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"))
+        about = [F.col(c) if c in answers.columns else F.lit(None).cast("string").alias(c) for c in ABOUT]
+        a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "asked", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"), *about)
         a.write.mode("append").parquet(self.path)
 
+    def journal(self, stage: str, slot: str, mark: str) -> str:
+        return f"{self.path}-journal/{stage}-{slot}-{mark}"
+
+    def merge(self, stage: str, slot: str, mark: str, ord_: int) -> None:
+        """Append what journals of killed runs hold, then drop them; repeated, it only repeats rows, of which one counts."""
+        folder = self.journal(stage, slot, mark)
+        if exists(self.spark, folder):
+            # lines that were cut off have no key
+            rows = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").json(folder)
+            self.append(rows.where(F.col("key").isNotNull() & F.col("asked").isNotNull() & F.col("status").isin(*ANSWERED)), stage, slot, mark, ord_)
+            delete(self.spark, folder)
+
     def ask(self, screener, requests: DataFrame, stage: str, slot: str, mark: str, ord_: int = 0, slice_rows: int = 20_000) -> DataFrame:
         """Answers for the requests: what the log lacks is asked and appended, slice by slice, then all is read from the log."""
+        self.merge(stage, slot, mark, ord_)
         todo = self.pending(requests, stage, slot, mark)
         slices = -(-todo.count() // slice_rows)
         if slices > 1:
             path = f"{self.path}-todo-{slot}-{ord_}"
             todo.write.mode("overwrite").parquet(path)
             todo = self.spark.read.schema(todo.schema).parquet(path)
+        folder = self.journal(stage, slot, mark)
+        durable = getattr(screener, "durable", False) and Journal.reaches(folder)
         for k in range(slices):
             part = todo.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k)
-            answers = screener.screen(part.drop("asked")).join(part.select("key", "asked"), "key")
-            self.append(answers, stage, slot, mark, ord_)
+            answers = screener.screen(part.drop("asked"), journal=f"{folder}/{k}") if durable else screener.screen(part.drop("asked"))
+            self.append(answers.join(part.select("key", "asked"), "key"), stage, slot, mark, ord_)
+            if durable:
+                delete(self.spark, f"{folder}/{k}")
         return _asked(requests).select("key", "asked").join(self.read(stage, slot, mark), ["key", "asked"]).drop("asked")

@@ -1,30 +1,37 @@
-"""The whole screening run with any screeners: resumable, every answer asked for once.
+"""The whole screening run with any screeners: resumable, every answer asked for once, targets finished one by one.
 
 fragments -> batches -> coarse answers of two screeners -> candidate pairs -> targeted answers -> consensus and
-disputes -> rulings -> final records. Between the stages stand response logs, so a run that stopped goes on where it was.
+disputes -> rulings -> final records. All targets of a wave go through one plan. Between the stages stand response logs, so
+a run that stopped goes on where it was; a commit table holds the state of each target, so one that is finished and
+whose fragments, themes and models are as they were is not touched again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import modeljson
-from ..operators import adjudicate, batches, dedupe, review, screening
+from ..operators import adjudicate, batches, dedupe, ordered, review, screening
 from ..sinks import record_files
+from .commits import Commits, expand_counts
 from .log import ResponseLog, fingerprint
-from .state import read_json, update_json
+from .state import delete, exists, names, read_json, update_json
 
-VERSION = 2
+VERSION = 3
 JUDGES = ("llm1", "llm2")
+COUNTS = ("repo_dir_count", "fragment_count", "batch_count", "candidate_pair_count", "consensus_count", "dispute_count", "manual_review_count", "final_record_count", "final_piece_count", "arbitrated_keep_count")
+RUN = ["target", "source_file", "repo_dir", "occurrence", "run_mark"]
 
 
 class Paused(RuntimeError):
-    """Some requests have no usable answer; a later run asks them again."""
+    """Some requests have no usable answer; a later run asks them again. Other targets are finished."""
 
 
 @dataclass
@@ -35,114 +42,271 @@ class Outcome:
     disputes: DataFrame
 
 
+def _said(x: Exception) -> str:
+    """What an error says: long traces by both ends."""
+    said = str(x).strip()
+    return said if len(said) <= 600 else f"{said[:200]} ... {said[-400:]}"
+
+
 def _manual(status: str = "status"):
     return F.col(status) == "manual"
 
 
-def run(spark: SparkSession, fragments: DataFrame, themes: list[str], screeners: dict[str, object], folder: str, limit: int = batches.LIMIT, tell: Callable[[str, dict], None] = lambda kind, what: None) -> Outcome:
+def file_runs(fragments: DataFrame) -> DataFrame:
+    """fragments (target, ord, source_file, repo_dir, ...) with their run, from 1 in a target, and n, the length that counts."""
+    f = fragments.withColumn("n", F.length(F.replace("original_text", F.lit("\n"), F.lit(""))))
+    runs = ordered.run_numbers(f.select("target", "ord", "source_file", "repo_dir"), ["target"], "ord", ["source_file", "repo_dir"], "run")
+    return f.join(runs.select("target", "ord", "run"), ["target", "ord"])
+
+
+def run_marks(runs: DataFrame) -> DataFrame:
+    """(target, run, source_file, repo_dir, occurrence, run_mark, first_ord): a hash of each run's content.
+
+    It holds wherever the run stands in its target, so a change before it leaves it as it is. occurrence: of runs of one
+    file the how manieth.
+    """
+    start = runs.groupBy("target", "run").agg(F.min("ord").alias("first_ord"))
+    at = runs.join(start, ["target", "run"])
+    content = [F.xxhash64(F.lit(k), F.col("ord") - F.col("first_ord"), "piece_id", "original_text") for k in (1, 2)]
+    mark = F.concat_ws("-", F.count(F.lit(1)), *(F.hex(F.bit_xor(c)) for c in content))
+    out = at.groupBy("target", "run", "source_file", "repo_dir").agg(mark.alias("run_mark"), F.first("first_ord").alias("first_ord"))
+    return out.withColumn("occurrence", F.row_number().over(W.partitionBy("target", "source_file", "repo_dir").orderBy("run")))
+
+
+class Packs:
+    """Batches by run of a file and content: written once, whatever run or target state asks for them later."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        # a folder counts once Spark has finished it
+        done = [f"{self.path}/{n}" for n in names(self.spark, self.path) if exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+        return self.spark.read.parquet(*sorted(done)) if done else None
+
+    def add_missing(self, runs: DataFrame, marks: DataFrame, limit: int, name: str) -> None:
+        """Cut the runs that no pack holds; runs: rows of `file_runs`, marks: rows of `run_marks`."""
+        known = self.read()
+        lack = marks if known is None else marks.join(known.select(*RUN).distinct(), RUN, "left_anti")
+        if not lack.limit(1).count():
+            return
+        f = runs.join(lack.select("target", "run", "occurrence", "run_mark"), ["target", "run"])
+        cut = batches.assign_batches(f.withColumn("_unit", F.concat_ws("\n", "target", F.col("run").cast("string"))), target="_unit", limit=limit)
+        rows = batches.batch_rows(cut, RUN, "ord").withColumn("local", F.col("batch_ord").cast("int")).drop("batch_ord", "batch_id")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def batches(self, marks: DataFrame) -> DataFrame:
+        """(target, batch_ord, batch_id, source_file, repo_dir, occurrence, local, piece_ids, batch_text, char_count), numbered in the target."""
+        found = self.read().join(marks.select(*RUN, "run"), RUN)
+        per = found.groupBy("target", "run").agg(F.max("local").alias("_n"))
+        before = ordered.running_sum(per, ["target"], "run", "_n", "_upto").select("target", "run", (F.col("_upto") - F.col("_n")).alias("_before"))
+        out = found.join(before, ["target", "run"]).withColumn("batch_ord", F.col("_before") + F.col("local"))
+        return out.withColumn("batch_id", F.format_string("batch_%06d", "batch_ord")).drop("_before", "run", "run_mark")
+
+
+def _table(spark: SparkSession, path: str, commits: Commits) -> DataFrame:
+    """The rows of a stored table that the targets' current snapshots hold."""
+    now = commits.current().where("is_completed").select("target", "snapshot")
+    return spark.read.parquet(path).withColumn("snapshot", F.col("snapshot").cast("string")).join(now, ["target", "snapshot"], "left_semi").drop("snapshot")
+
+
+def run(
+    spark: SparkSession, fragments: DataFrame, themes: list[str], screeners: dict[str, object], folder: str, limit: int = batches.LIMIT,
+    tell: Callable[[str, dict], None] = lambda kind, what: None, force: bool | Collection[str] = False, wave_fragments: int = 2_000_000, wave_targets: int = 1000,
+) -> Outcome:
     """fragments: target, ord (whole number, unique in a target), piece_id, source_file, repo_dir, original_text.
 
-    screeners: llm1, llm2, llm3. folder: shared by driver and executors; holds logs, batches, state and what was found: disputes,
-    final_records, records (JSON lines by target), target_state (a row for each target) and manual_review, a queue that grows.
-    Of fragments with one piece_id in a target the last is looked up, though batches keep all.
+    screeners: llm1, llm2, llm3. folder: shared by driver and executors; holds logs, packs, commits, snapshots of what was
+    found (disputes, final_records), records (JSON lines by target) and manual_review, a queue that grows. Targets that
+    aren't finished go in waves of about wave_fragments fragments and wave_targets targets; a wave is committed when it is
+    done. A target with unanswered requests fails alone, at the end Paused is raised. force: all targets, or those named, are
+    done and asked anew. Of fragments with one piece_id in a target the last is looked up, though batches keep all.
     """
-    mark = fingerprint(version=VERSION, themes=themes, limit=limit, corpus=fragments.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*sorted(fragments.columns)))).first().asDict())
-    state = f"{folder}/run_state.json"
+    state, commits = f"{folder}/run_state.json", Commits(spark, f"{folder}/commits")
     turn = int(read_json(spark, state).get("runs", 0))
-    names, by_index = screening.theme_literals(themes)
-    numbered = F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(t.strip()).alias("theme")) for i, t in enumerate(themes, 1) if t.strip()))
-
-    def phase(name: str) -> None:
-        update_json(spark, state, phase=name, fingerprint=mark, runs=turn + 1, last_error="")
-        tell("phase", {"phase": name})
-
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    def ask(stage: str, slot: str, requests: DataFrame) -> DataFrame:
-        log = ResponseLog(spark, f"{folder}/{stage}_{slot}")
-        who = fingerprint(version=VERSION, model=screeners[slot].model)
-        answers = log.ask(screeners[slot], requests, stage, slot, who, turn)
-        left = log.pending(requests, stage, slot, who).count()
-        tell("answers", {"stage": stage, "slot": slot, "pending": left})
-        if left:
-            raise Paused(f"{stage}, {slot}: {left} requests without an answer")
+    models = {s: getattr(screeners[s], "name", screeners[s].model) for s in (*JUDGES, "llm3")}
+    settings = fingerprint(version=VERSION, themes=themes, limit=limit, models=models)
+    update_json(spark, state, phase="started", fingerprint=settings, runs=turn + 1, last_error="")
+    try:
+        since = commits.version()
+        content = F.concat_ws("-", F.lit(settings), F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64(*sorted(fragments.columns)))), F.hex(F.bit_xor(F.hash(*sorted(fragments.columns)))))
+        marks = fragments.groupBy("target").agg(content.alias("mark"), F.count(F.lit(1)).alias("rows"))
+        now = commits.current().select("target", "is_completed", "fingerprint", "epoch")
+        forced = F.lit(force) if isinstance(force, bool) else F.col("target").isin(*force) if force else F.lit(False)
+        marks = marks.join(now, "target", "left").withColumn("forced", forced)
+        # a run that was killed while it was forced goes on with its own answers
+        marks = marks.withColumn("epoch", F.coalesce("epoch", F.lit(0)) + F.col("forced").cast("int"))
+        done = F.coalesce(F.col("is_completed") & (F.col("fingerprint") == F.col("mark")) & ~F.col("forced"), F.lit(False))
+        path = f"{folder}/marks"
+        marks.select("target", "mark", "rows", "epoch", done.alias("done")).write.mode("overwrite").parquet(path)
+        marks = spark.read.parquet(path)
+        n, rows = marks.where("not done").agg(F.count(F.lit(1)), F.sum("rows")).first()
+        tell("targets", {"reused": marks.where("done").count(), "to_do": n})
+        waves = max(-(-n // wave_targets), -(-(rows or 0) // wave_fragments))
+        marks = marks.where("not done").withColumn("wave", F.pmod(F.xxhash64("target"), F.lit(max(waves, 1))))
+        failed: dict[str, str] = {}
+        for k in range(waves):
+            own = [r.asDict() for r in marks.where(F.col("wave") == k).collect()]  # about wave_targets
+            if own:
+                wave = _Wave(spark, folder, screeners, themes, models, limit, turn, commits, since, own, tell)
+                since = wave.run(fragments)
+                failed |= wave.failed
+        summary = expand_counts(commits.current().where("is_completed"), COUNTS)
+        if failed:
+            raise Paused("; ".join(sorted(set(failed.values()))[:5]))
+        update_json(spark, state, phase="completed")
+        tell("phase", {"phase": "completed"})
+        read = lambda name: _table(spark, f"{folder}/{name}", commits) if exists(spark, f"{folder}/{name}") else None
+        return Outcome(read("final_records"), summary, spark.read.parquet(f"{folder}/manual_review"), read("disputes"))
+    except Exception as x:
+        update_json(spark, state, phase="failed", last_error=_said(x))
+        raise
+
+
+class _Wave:
+    """Some targets on their way through all stages."""
+
+    def __init__(self, spark, folder, screeners, themes, models, limit, turn, commits, since, own, tell):
+        self.spark, self.folder, self.screeners, self.themes, self.models, self.limit, self.turn = spark, folder, screeners, themes, models, limit, turn
+        self.commits, self.since, self.tell = commits, since, tell
+        self.alive = {r["target"]: r for r in own}
+        self.failed: dict[str, str] = {}
+        self.snapshot = f"{turn:06d}-{uuid.uuid4().hex[:12]}"
+
+    def names(self, targets) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(t, self.alive[t]["epoch"]) for t in targets], "target string, epoch int"))
+
+    def commit(self, phase: str, targets, **more) -> None:
+        rows = [{"target": t, "phase": phase, "fingerprint": self.alive[t]["mark"], "snapshot": self.snapshot, "epoch": self.alive[t]["epoch"], **{k: v.get(t) if isinstance(v, dict) else v for k, v in more.items()}} for t in sorted(targets)]
+        if rows:
+            self.since = self.commits.commit(rows, self.since)
+
+    def phase(self, name: str) -> None:
+        update_json(self.spark, f"{self.folder}/run_state.json", phase=name)
+        self.at = name
+        self.commit(name, self.alive)
+        self.tell("phase", {"phase": name})
+
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}/snapshot={self.snapshot}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def ask(self, stage: str, slot: str, requests: DataFrame) -> DataFrame:
+        """The answers. Targets of which some are missing fail here and take no further part."""
+        log = ResponseLog(self.spark, f"{self.folder}/{stage}_{slot}")
+        who = fingerprint(version=VERSION, model=self.models[slot])
+        answers = log.ask(self.screeners[slot], requests, stage, slot, who, self.turn)
+        left = log.pending(requests, stage, slot, who).groupBy("target").count().collect()  # a row for each target of the wave
+        self.tell("answers", {"stage": stage, "slot": slot, "pending": sum(r["count"] for r in left)})
+        lost = {r["target"]: f"{stage}, {slot}: {r['count']} requests without an answer" for r in left}
+        if lost:
+            self.commit(self.at, lost, error=lost)
+            self.failed |= lost
+            self.alive = {t: r for t, r in self.alive.items() if t not in lost}
         return answers
 
-    try:
-        phase("batches")
-        path = f"{folder}/batches-{mark}"
-        if read_json(spark, state).get("batches") != path:
-            f = fragments.withColumn("n", F.length(F.replace("original_text", F.lit("\n"), F.lit(""))))
-            assigned = batches.assign_batches(f, limit=limit)
-            keys = ["target", "source_file", "repo_dir"]
-            batches.batch_rows(assigned, keys, "ord").write.mode("overwrite").parquet(path)
-            update_json(spark, state, batches=path)
-        b = spark.read.parquet(path).withColumn("batch_key", F.concat_ws("::", "target", "batch_id"))
-
-        phase("coarse_screening")
-        requests = b.select(F.col("batch_key").alias("key"), screening.coarse_prompt(numbered, F.col("source_file"), F.col("batch_text")).alias("prompt"), "batch_text", "char_count")
-        asked = {s: ask("coarse", s, requests) for s in JUDGES}
+    def still(self, df: DataFrame) -> DataFrame:
+        """Rows of targets that go on."""
+        return df.join(self.names(self.alive).select("target"), "target", "left_semi")
+
+    def run(self, fragments: DataFrame) -> int:
+        try:
+            self._run(fragments)
+        except Exception as x:
+            self.commit(getattr(self, "at", "started"), self.alive, error=_said(x))
+            raise
+        return self.since
+
+    def _run(self, fragments: DataFrame) -> None:
+        themes, spark = self.themes, self.spark
+        literals, by_index = screening.theme_literals(themes)
+        numbered = F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(t.strip()).alias("theme")) for i, t in enumerate(themes, 1) if t.strip()))
+
+        self.phase("batches")
+        fragments = fragments.join(self.names(self.alive).select("target"), "target", "left_semi")
+        runs = file_runs(fragments)
+        marks = self.stored("runs", run_marks(runs))
+        packs = Packs(spark, f"{self.folder}/packs")
+        packs.add_missing(runs, marks, self.limit, self.snapshot)
+        b = packs.batches(marks).join(self.names(self.alive), "target")
+        # a key that stays while the batch does, wherever it stands; asked anew where the target is forced
+        key = [F.col("target"), F.when(F.col("epoch") > 0, F.concat(F.lit("e"), F.col("epoch").cast("string"))), F.col("source_file"), F.col("repo_dir"), F.col("occurrence").cast("string"), F.col("local").cast("string")]
+        b = b.withColumn("batch_key", F.concat_ws("::", *key)).drop("epoch")
+
+        self.phase("coarse_screening")
+        requests = b.select("target", F.col("batch_key").alias("key"), screening.coarse_prompt(numbered, F.col("source_file"), F.col("batch_text")).alias("prompt"), "batch_text", "char_count")
+        asked = {s: self.ask("coarse", s, requests) for s in JUDGES}
+        b = self.still(b)
         positive = []
         for s in JUDGES:
-            judged = F.coalesce(modeljson.coarse(F.col("payload"), names, by_index)["themes"], F.transform(names, lambda t: F.struct(t.alias("theme"), F.lit(False).alias("is_relevant"))))
+            judged = F.coalesce(modeljson.coarse(F.col("payload"), literals, by_index)["themes"], F.transform(literals, lambda t: F.struct(t.alias("theme"), F.lit(False).alias("is_relevant"))))
             positive.append(screening.coarse_positives(asked[s].select(F.col("key").alias("batch_key"), "status", judged.alias("themes")), ["batch_key"]))
-        pairs = stored("pairs", screening.candidate_pairs(*positive).join(b, "batch_key").withColumn("key", F.concat_ws("::", "batch_key", "theme")))
+        pairs = self.stored("pairs", screening.candidate_pairs(*positive).join(b, "batch_key").withColumn("key", F.concat_ws("::", "batch_key", "theme")))
 
-        phase("targeted_screening")
+        self.phase("targeted_screening")
         looked_up = dedupe.last_wins(fragments.select("target", "piece_id", "ord", "source_file", "original_text"), ["target", "piece_id"], ["ord"])
         piece = pairs.select("key", "target", "theme", "source_file", F.posexplode("piece_ids").alias("pos", "piece_id")).join(looked_up.select("target", "piece_id", "original_text"), ["target", "piece_id"])
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece_id", "original_text"))), lambda x: F.struct(x["piece_id"].alias("piece_id"), x["original_text"].alias("original_text")))
-        requests = piece.groupBy("key", "theme", "source_file").agg(pieces.alias("pieces"))
-        requests = requests.select("key", screening.targeted_prompt(F.col("theme"), F.col("source_file"), F.col("pieces")).alias("prompt"), "theme", "pieces")
+        requests = piece.groupBy("target", "key", "theme", "source_file").agg(pieces.alias("pieces"))
+        requests = requests.select("target", "key", screening.targeted_prompt(F.col("theme"), F.col("source_file"), F.col("pieces")).alias("prompt"), "theme", "pieces")
+        targeted = {s: self.ask("targeted", s, requests) for s in JUDGES}
+        pairs, b = self.still(pairs), self.still(b)
         verdicts = {}
         for s in JUDGES:
-            answers = ask("targeted", s, requests).join(pairs.select("key", "target", "theme", "piece_ids"), "key")
+            answers = targeted[s].join(pairs.select("key", "target", "theme", "piece_ids"), "key")
             every = F.transform("piece_ids", lambda p: F.struct(p.alias("piece_id"), F.lit(True).alias("is_relevant"), F.lit(modeljson.MANUAL).alias("reason")))
             results = F.when(_manual(), every).otherwise(modeljson.targeted(F.col("payload"), F.col("piece_ids"))["results"])
             rows = answers.select("target", "theme", "status", F.col("key").alias("ord"), results.alias("results"))
             verdicts[s] = screening.flatten_targeted(rows, ["target"], s)
-            asked[f"targeted_{s}"] = answers
+            targeted[s] = answers
 
-        phase("arbitration")
+        self.phase("arbitration")
         keys = ["target", "piece_id", "theme"]
-        both = stored("verdicts", adjudicate.pair_verdicts(verdicts["llm1"], verdicts["llm2"], keys))
+        both = self.stored("verdicts", adjudicate.pair_verdicts(verdicts["llm1"], verdicts["llm2"], keys))
         agreed, disputed = adjudicate.consensus(both), adjudicate.disputes(both)
-        disputed = disputed.withColumn("dispute_key", F.concat_ws("::", "target", "dispute_key"))
-        disputed = stored("disputes", disputed)
-        texts = disputed.join(looked_up.select("target", "piece_id", "original_text"), ["target", "piece_id"])
+        disputed = self.stored("disputes", disputed.withColumn("dispute_key", F.concat_ws("::", "target", "dispute_key")))
+        texts = disputed.join(looked_up.select("target", "piece_id", "original_text"), ["target", "piece_id"]).join(self.names(self.alive), "target")
         prompt = screening.arbitration_prompt(F.col("piece_id"), F.col("theme"), F.col("original_text"), F.col("llm1_result"), F.col("llm2_result"))
-        answers = ask("arbitration", "llm3", texts.select(F.col("dispute_key").alias("key"), prompt.alias("prompt"), "original_text", "theme"))
+        key = F.concat_ws("::", "dispute_key", F.when(F.col("epoch") > 0, F.concat(F.lit("e"), F.col("epoch").cast("string"))))
+        texts = texts.select("target", "dispute_key", key.alias("key"), prompt.alias("prompt"), "original_text", "theme")
+        answers = self.ask("arbitration", "llm3", texts).join(texts.select("key", "dispute_key"), "key")
+        agreed, disputed, b, pairs = (self.still(x) for x in (agreed, disputed, b, pairs))
         ruled = modeljson.ruling(F.col("payload"))
-        rulings = answers.select(F.col("key").alias("dispute_key"), (_manual() | ruled["is_relevant"]).alias("is_relevant"), F.when(_manual(), modeljson.MANUAL).otherwise(ruled["reason"]).alias("reason"))
+        rulings = answers.select("dispute_key", (_manual() | ruled["is_relevant"]).alias("is_relevant"), F.when(_manual(), modeljson.MANUAL).otherwise(ruled["reason"]).alias("reason"))
 
         final = adjudicate.final_records(agreed, disputed, rulings, keys).withColumnRenamed("theme", "matched_theme")
-        final = final.join(looked_up.drop("ord"), ["target", "piece_id"])
-        final = stored("final_records", final)
-        coarse_rows = [asked[s].join(b.withColumnRenamed("batch_key", "key"), "key").select("key", "piece_ids", "source_file", F.lit(None).cast("string").alias("theme"), names.alias("themes"), "status", "error") for s in JUDGES]
-        found = review.review_entries(coarse_rows[0].unionByName(coarse_rows[1]), looked_up, "coarse")
+        final = self.stored("final_records", final.join(looked_up.drop("ord"), ["target", "piece_id"]))
+        found = self._review({s: asked[s].join(b.withColumnRenamed("batch_key", "key"), "key") for s in JUDGES}, {s: self.still(targeted[s]) for s in JUDGES}, looked_up, literals)
+        self._records(final)
+        parts = {
+            "repo_dir_count": fragments.select("target", "repo_dir").distinct(), "fragment_count": fragments, "batch_count": b, "candidate_pair_count": pairs,
+            "consensus_count": agreed, "dispute_count": disputed, "manual_review_count": found,
+        }
+        summary = {r["target"]: r.asDict() for r in adjudicate.full_summary(parts, final).collect()}  # a row for each target of the wave
+        self.at = "completed"
+        self.commit("completed", self.alive, is_completed=True, counts={t: {c: summary[t][c] for c in COUNTS} for t in self.alive})
+
+    def _review(self, coarse: dict, targeted: dict, looked_up: DataFrame, literals) -> DataFrame:
+        """New entries join the queue; all entries of the wave's targets."""
+        rows = lambda d, **own: d.withColumns(own).select("target", "key", "piece_ids", "source_file", "theme", literals.alias("themes"), "status", "error")
+        found = None
         for s in JUDGES:
-            rows = asked[f"targeted_{s}"].select("key", "piece_ids", F.lit("").alias("source_file"), "theme", names.alias("themes"), "status", "error")
-            found = found.unionByName(review.review_entries(rows, looked_up, "targeted"))
-        found = found.dropDuplicates(["manual_review_key"])
-        queue = f"{folder}/manual_review"
+            for stage, d in (("coarse", rows(coarse[s], theme=F.lit(None).cast("string"))), ("targeted", rows(targeted[s], source_file=F.lit("")))):
+                one = review.review_entries(d, looked_up, stage, ("target",))
+                found = one if found is None else found.unionByName(one)
+        found, queue = found.dropDuplicates(["manual_review_key"]), f"{self.folder}/manual_review"
         try:
-            known = spark.read.parquet(queue).select("manual_review_key")
+            known = self.spark.read.parquet(queue).select("manual_review_key")
             found.join(known, "manual_review_key", "left_anti").write.mode("append").parquet(queue)
         except AnalysisException:
             found.write.parquet(queue)
-        found = spark.read.schema(found.schema).parquet(queue)
-        record_files.write_records(final, f"{folder}/records")
-        entries = found.select(F.regexp_extract("manual_review_key", "^[^:]*::(.*?)::", 1).alias("target"))
-        parts = {
-            "repo_dir_count": fragments.select("target", "repo_dir").distinct(), "fragment_count": fragments, "batch_count": b, "candidate_pair_count": pairs,
-            "consensus_count": agreed, "dispute_count": disputed, "manual_review_count": entries,
-        }
-        summary = adjudicate.full_summary(parts, final).withColumns({"is_completed": F.lit(True), "updated_at": F.current_timestamp()})
-        summary = stored("target_state", summary)
-        phase("completed")
-        return Outcome(final, summary, found, disputed)
-    except Exception as x:
-        update_json(spark, state, phase="failed", last_error=str(x)[:500])
-        raise
+        return self.still(self.spark.read.schema(found.schema).parquet(queue))
+
+    def _records(self, final: DataFrame) -> None:
+        """The targets' record files, replaced; a target without records has none."""
+        path = f"{self.folder}/records"
+        left = {r["target"] for r in final.select("target").distinct().collect()}
+        for t in set(self.alive) - left:
+            delete(self.spark, f"{path}/target={t}")
+        record_files.write_records(final, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
 from datetime import datetime, timezone
@@ -25,18 +26,63 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_json(spark: SparkSession, path: str, default: dict | None = None) -> dict:
-    """The object in a file; the default where it is missing or broken."""
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Of what lies in a folder; none where there is no folder."""
+    p, fs = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _fs(spark, path)
-    if not fs.exists(p):
-        return dict(default or {})
     stream = fs.open(p)
     try:
-        text = bytes(b & 0xFF for b in stream.readAllBytes()).decode("utf-8", "replace")
+        return bytes(b & 0xFF for b in stream.readAllBytes()).decode("utf-8", "replace")
     finally:
         stream.close()
+
+
+def _write(fs, path, text: str) -> None:
+    out = fs.create(path, True)
     try:
-        found = json.loads(text)
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a whole file that must not exist yet; False where it does. One of several writers wins."""
+    p, fs = _fs(spark, path)
+    q, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.new")
+    fs.mkdirs(p.getParent())
+    _write(fs, q, text)
+    try:
+        if fs.getUri().getScheme() == "file":  # a link is made once, a local rename would overwrite
+            os.link(q.toUri().getPath(), p.toUri().getPath())
+            return True
+        return not fs.exists(p) and fs.rename(q, p)  # HDFS refuses to rename onto a file
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(q, False)
+
+
+def read_json(spark: SparkSession, path: str, default: dict | None = None) -> dict:
+    """The object in a file; the default where it is missing or broken."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return dict(default or {})
+    try:
+        found = json.loads(read_text(spark, path))
     except ValueError:
         return dict(default or {})
     return found if isinstance(found, dict) else dict(default or {})
@@ -47,11 +93,7 @@ def write_json(spark: SparkSession, path: str, value: dict) -> dict:
     value = value | {"updated_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
     p, fs = _fs(spark, path)
     q, _ = _fs(spark, f"{path}.new")
-    out = fs.create(q, True)
-    try:
-        out.write((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
-    finally:
-        out.close()
+    _write(fs, q, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
     # one step: the path holds the old state or the new one, never none
     hadoop = spark._jvm.org.apache.hadoop.fs
     how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)

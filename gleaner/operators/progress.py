@@ -66,22 +66,23 @@ def step(p: Progress, action: str, target: str = "", cursor: str | None = None,
         chosen = target or p.current or (open_[0] if open_ else "")
         if not chosen or chosen in p.completed:
             raise ProgressError("nothing left to start")
-        return replace(p, current=chosen, run_count=p.run_count + (chosen != p.current), status="running")
-    if action == "checkpoint":
+        p = replace(p, current=chosen, run_count=p.run_count + (chosen != p.current), status="running")
+    elif action == "checkpoint":
         chosen = target or p.current
         if not chosen or chosen in p.completed:
             raise ProgressError("no open target")
-        return replace(p, current=chosen, status="running")
-    if action == "pause":
-        return replace(p, current=target or p.current, status="paused")
-    if action == "complete":
+        p = replace(p, current=chosen, status="running")
+    elif action == "pause":
+        p = replace(p, current=target or p.current, status="paused")
+    elif action == "complete":
         chosen = target or p.current
         if not chosen:
             raise ProgressError("no target")
-        done = p.completed if chosen in p.completed else (*p.completed, chosen)
-        status = "completed" if set(p.targets) <= set(done) else "paused"
-        return replace(p, completed=done, current="", status=status)
-    raise ProgressError(f"unknown action {action}")
+        p = replace(p, completed=p.completed if chosen in p.completed else (*p.completed, chosen), current="", status="paused")
+    else:
+        raise ProgressError(f"unknown action {action}")
+    # what an action leaves is what the scope makes of it: pausing can't open, close or keep a target
+    return reconcile(p, p.targets)
 
 
 def replay(actions: DataFrame, targets: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ column predicate; `ReplayScreener` joins recorded answers; `RemoteScreener` call
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -18,9 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.modeljson import MANUAL
+from ..sources.journal import Journal
+from ..sources.pacing import Pace
 from .dedupe import last_wins
 
-ANSWER = "key string, status string, payload string, error string, attempts int"
+ANSWER = "key string, status string, payload string, error string, attempts int, model string, provider string, usage string"
+KINDS = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.string()) for c in ANSWER.split(", ")])
+#: statuses that hold; others are asked again
+ANSWERED = ("ok", "fallback", "manual")
+#: what a prompt costs of a rate of tokens
+CHARS_A_TOKEN = 4
 
 
 @dataclass(frozen=True)
@@ -54,13 +62,37 @@ class RequestError(RuntimeError):
     """A request that the service refused: asking again the same way won't help."""
 
 
+class Busy(RequestError):
+    """A refusal for now (rate limits, server errors): asking again later may help. retry_after: seconds, where the service says so."""
+
+    def __init__(self, said: str, retry_after: float | None = None):
+        super().__init__(said)
+        self.retry_after = retry_after
+
+
+class Reply(str):
+    """A text with what is known of its making."""
+
+    usage: dict
+    model: str
+    provider: str
+
+    def __new__(cls, text: str, usage: dict | None = None, model: str = "", provider: str = ""):
+        out = super().__new__(cls, text)
+        out.usage, out.model, out.provider = usage or {}, model, provider
+        return out
+
+
 @dataclass(frozen=True)
 class RemoteScreener:
-    """Calls make_client()(prompt, key_name) -> text on executors, `threads` at a time in each partition.
-
-    Keys rotate from an offset by partition. Answers that `check` rejects (FormatError) go to the fallback up to
-    `retries` times and then become status "manual"; network errors are tried again `network_retries` times and then
-    become status "error", as requests that the service refuses (RequestError) do at once. Tasks may run twice, so callers log answers and read them back once for each key.
+    """Calls make_client()(prompt, key_name) -> text or Reply on executors, `threads` at a time in each partition.
+
+    Keys rotate from an offset by partition, at the rates of `pacing.Pace`. Answers that `check` rejects (FormatError) go
+    to the fallback up to `retries` times and then become status "manual". Network errors and Busy refusals are tried again
+    `network_retries` times, with the next key, after what the service asks for or else `wait` seconds, doubled each time,
+    and then become status "error", as other refusals (RequestError) do at once. With a journal each answer is
+    on shared storage before the next is asked, and a task's next attempt takes them over. Tasks may run twice, so
+    callers log answers and read them back once for each key.
     """
 
     make_client: Callable[[], Callable[[str, str], str]]
@@ -72,58 +104,91 @@ class RemoteScreener:
     retries: int = 3
     network_retries: int = 5
     wait: float = 0.0
-    #: part of the log's fingerprint: answers of another model don't count
+    #: part of the log's fingerprint: answers of another model don't count; where it is blank, the client's own
     model: str = ""
+    requests_per_minute: float | None = None
+    tokens_per_minute: float | None = None
 
-    def screen(self, requests: DataFrame) -> DataFrame:
+    durable = True
+
+    @property
+    def name(self) -> str:
+        """The model's name, or the client's, with its address."""
+        if self.model:
+            return self.model
+        client = self.make_client()
+        return "@".join(str(x) for x in (getattr(client, "model", ""), getattr(client, "base_url", "")) if x)
+
+    def screen(self, requests: DataFrame, journal: str | None = None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             client, fallback = self.make_client(), self.make_fallback and self.make_fallback()
             turn = TaskContext.get().partitionId()
+            pace = Pace(self.requests_per_minute, self.tokens_per_minute, self.partitions)
+            log = Journal(journal, turn, TaskContext.get().taskAttemptId()) if journal else None
+            known = {(r.get("key"), r.get("asked")): r for r in log.earlier()} if log else {}
 
-            def ask(call, prompt, name):
-                for left in range(self.network_retries, -1, -1):
+            def ask(call, prompt, start):
+                for k in range(self.network_retries + 1):
+                    name = pace.take(self.api_keys, start + k, len(prompt) // CHARS_A_TOKEN)
                     try:
                         text = call(prompt, name)
                         break
-                    except OSError:
-                        if not left:
+                    except (Busy, OSError) as x:
+                        if k == self.network_retries:
                             raise
-                        time.sleep(self.wait)
+                        after = getattr(x, "retry_after", None)
+                        pause = self.wait * 2**k if after is None else after
+                        pace.block(name, pause) if isinstance(x, Busy) else time.sleep(pause)
                 try:
                     self.check(text)
                 except ValueError as x:
                     raise FormatError(str(x)) from None
                 return text
 
-            def one(at: tuple[int, str, str]):
-                i, key, prompt = at
-                name = self.api_keys[(turn + i) % len(self.api_keys)]
+            def answer(key, status, text, error, attempts) -> dict:
+                usage = getattr(text, "usage", None)
+                about = {"model": getattr(text, "model", "") or self.model, "provider": getattr(text, "provider", ""), "usage": json.dumps(usage, ensure_ascii=False) if usage else None}
+                return {"key": key, "status": status, "payload": None if text is None else str(text), "error": error, "attempts": attempts, **about}
+
+            def judge(i: int, key: str, prompt: str) -> dict:
                 try:
-                    return key, "ok", ask(client, prompt, name), None, 1
+                    return answer(key, "ok", ask(client, prompt, turn + i), None, 1)
                 except FormatError as x:
                     error = str(x)
                 except OSError as x:
-                    return key, "error", None, f"network: {x}", 1
+                    return answer(key, "error", None, f"network: {x}", 1)
                 except RequestError as x:
-                    return key, "error", None, f"request: {x}", 1
+                    return answer(key, "error", None, f"request: {x}", 1)
                 if fallback is None:
-                    return key, "format_error", None, error, 1
+                    return answer(key, "format_error", None, error, 1)
                 for k in range(self.retries):
                     try:
-                        return key, "fallback", ask(fallback, prompt, name), error, k + 2
+                        return answer(key, "fallback", ask(fallback, prompt, turn + i), error, k + 2)
                     except (FormatError, OSError, RequestError):
                         continue
-                return key, "manual", None, error, self.retries + 1
-
-            with ThreadPoolExecutor(self.threads) as pool:
-                seen = 0
-                for b in batches:
-                    work = [(seen + i, k, p) for i, (k, p) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))]
-                    seen += len(work)
-                    for s in range(0, len(work), 64):  # a bounded number of calls is under way
-                        rows = list(pool.map(one, work[s : s + 64]))
-                        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "status", "payload", "error", "attempts"])
+                return answer(key, "manual", None, error, self.retries + 1)
+
+            def one(at: tuple[int, str, str]) -> dict:
+                i, key, prompt = at
+                asked = hashlib.sha256((prompt or "").encode()).hexdigest() if log else ""
+                if (key, asked) in known:
+                    return known[key, asked]
+                row = judge(i, key, prompt)
+                if log and row["status"] in ANSWERED:
+                    log.add(row | {"asked": asked})
+                return row
+
+            try:
+                with ThreadPoolExecutor(self.threads) as pool:
+                    seen = 0
+                    for b in batches:
+                        work = [(seen + i, k, p) for i, (k, p) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))]
+                        seen += len(work)
+                        for s in range(0, len(work), 64):  # a bounded number of calls is under way
+                            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in KINDS.names} for r in pool.map(one, work[s : s + 64])], schema=KINDS)
+            finally:
+                if log:
+                    log.close()
 
         return requests.select("key", "prompt").repartition(self.partitions, "key").mapInArrow(run, ANSWER)
 

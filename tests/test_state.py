@@ -164,3 +164,64 @@ def test_yaml(spark, tmp_path):
     corpus_yaml.write_corpus(full, str(tmp_path / "yaml"))
     text = "".join(open(tmp_path / "yaml" / f).read() for f in sorted(os.listdir(tmp_path / "yaml")) if f.startswith("part"))
     assert text.startswith("piece_count: 2\nrecords:\n  - piece_id: p/1") and text.count("  - piece_id") == 2
+
+
+def test_pause_follows_the_scope():
+    """Pausing neither opens an untouched project nor keeps a target that is done."""
+    p = Progress(targets=TARGETS)
+    assert step(p, "pause").status == "pending"
+    p = step(step(p, "start", "KR3j"), "complete")
+    assert (step(p, "pause", "KR3j").current, step(p, "pause", "KR3j").status) == ("", "paused")
+    p = step(step(p, "start"), "complete")
+    assert p.status == step(p, "pause").status == "completed"
+
+
+def plain_step(s, targets, action, target, delta):
+    """The rules over a plain dictionary; None where an action is refused."""
+    known = [t for t in s["completed"] if t in targets]
+    if delta < 0 or (target and target not in targets) or action not in ("start", "checkpoint", "pause", "complete", "reset"):
+        return None
+    if action == "reset":
+        return {"status": "pending", "completed": [], "current": "", "runs": 0, "pieces": 0}
+    open_ = [t for t in targets if t not in known and t != s["current"]]
+    chosen = target or s["current"] or (open_[0] if open_ and action == "start" else "")
+    new = dict(s, completed=list(known), pieces=s["pieces"] + delta)
+    if action in ("start", "checkpoint"):
+        if not chosen or chosen in known:
+            return None
+        new["runs"] += action == "start" and chosen != s["current"]
+        new["status"], new["current"] = "running", chosen
+    elif action == "pause":
+        new["status"], new["current"] = "paused", chosen
+    else:
+        if not chosen:
+            return None
+        new["completed"] += [] if chosen in known else [chosen]
+        new["status"], new["current"] = "paused", ""
+    if new["current"] in new["completed"]:
+        new["current"] = ""
+    if len(new["completed"]) == len(targets):
+        new["status"] = "completed"
+    elif new["current"]:
+        new["status"] = "paused" if new["status"] == "paused" else "running"
+    elif not new["completed"]:
+        new["status"] = "pending"
+    return new
+
+
+def test_steps_on_random_logs():
+    import random
+
+    r, targets = random.Random(4), ("A", "B", "C")
+    for _ in range(400):
+        p, s = Progress(targets=targets), {"status": "pending", "completed": [], "current": "", "runs": 0, "pieces": 0}
+        for _ in range(r.randrange(1, 15)):
+            action, target, delta = r.choice(["start", "checkpoint", "pause", "complete", "complete", "reset", "jump"]), r.choice(["", "", "A", "B", "C", "Z"]), r.choice([0, 2, -1])
+            want = plain_step(s, targets, action, target, delta)
+            try:
+                p = step(p, action, target, delta=delta)
+                assert want is not None
+                s = want
+            except ProgressError:
+                assert want is None
+            assert (p.status, list(p.completed), p.current, p.run_count, p.piece_count) == (s["status"], s["completed"], s["current"], s["runs"], s["pieces"])
