@@ -224,7 +224,7 @@ def q_batch_assign(spark, sf):
     d = read(spark, sf, "documents")
     f = d.select(F.col("source").alias("target"), F.col("source").alias("source_file"), F.col("lang").alias("repo_dir"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
     f = f.withColumn("n", F.length(F.trim("t"))).where("n > 0").withColumn("ord", F.col("doc_id") * (1 << 24) + F.col("pos")).drop("t")
-    return batches.assign_batches(f).select("target", "doc_id", "pos", "batch_ord")
+    return batches.assign_batches(f, keep=("doc_id", "pos")).select("target", "doc_id", "pos", "batch_ord")
 
 
 @query(f"""with recursive {_FOLD} select doc_id, b::int as batch, 'batch_' || printf('%06d', b + 1) as batch_id, count(*)::int as n_pieces, sum(n)::int as char_count, md5(string_agg(t, chr(10) || chr(10) order by pos)) as text_md5

@@ -91,7 +91,7 @@ class Packs:
         if not lack.limit(1).count():
             return
         f = runs.join(lack.select("target", "run", "occurrence", "run_mark"), ["target", "run"])
-        cut = batches.assign_batches(f.withColumn("_unit", F.concat_ws("\n", "target", F.col("run").cast("string"))), target="_unit", limit=limit)
+        cut = batches.assign_batches(f.withColumn("_unit", F.concat_ws("\n", "target", F.col("run").cast("string"))), target="_unit", same=(), limit=limit)
         rows = batches.batch_rows(cut, RUN, "ord").withColumn("local", F.col("batch_ord").cast("int")).drop("batch_ord", "batch_id")
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
@@ -225,7 +225,8 @@ class _Wave:
 
         self.phase("batches")
         fragments = fragments.join(self.names(self.alive).select("target"), "target", "left_semi")
-        runs = file_runs(fragments)
+        numbers = self.stored("file_runs", file_runs(fragments).select("target", "ord", "run", "n"))
+        runs = fragments.join(numbers, ["target", "ord"])
         marks = self.stored("runs", run_marks(runs))
         packs = Packs(spark, f"{self.folder}/packs")
         packs.add_missing(runs, marks, self.limit, self.snapshot)

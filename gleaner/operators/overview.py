@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pytext import length_without_breaks
-from .batches import LIMIT, batch_numbers
+from .batches import LIMIT, batch_count
 
 COUNTS = ["repo_dir_count", "text_file_count", "text_char_count", "fragment_count", "batch_count"]
 # fixed values
@@ -19,7 +19,7 @@ def measure_files(fragments: DataFrame, by: list[str], order: str, limit: int =
     lengths = F.transform(F.array_sort(F.collect_list(F.struct(order, n.alias("n")))), lambda x: x["n"])
     files = fragments.groupBy(*by).agg(lengths.alias("_n"))
     total = F.aggregate("_n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return files.select(*by, total.alias("chars"), F.size("_n").cast("bigint").alias("fragments"), (F.coalesce(F.array_max(batch_numbers(F.col("_n"), limit)), F.lit(-1)) + 1).cast("bigint").alias("batches"))
+    return files.select(*by, total.alias("chars"), F.size("_n").cast("bigint").alias("fragments"), batch_count(F.col("_n"), limit).alias("batches"))
 
 
 def estimated_batches(batches: Column, files: Column, chars: Column, limit: int = LIMIT) -> Column:

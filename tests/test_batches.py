@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,44 @@ def test_assign_against_a_plain_loop(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_a_long_run_spreads_over_tasks(spark, parts):
+    """One run with most of the rows, dealt to many ranges: numbered as by a plain loop."""
+    r = random.Random(parts)
+    rows = [("x", i, "a", "d", r.choice([0, 1, 40, 250, 250, 499, 500, 501, 900])) for i in range(300)] + [(t, i, r.choice("ab"), "d", r.randrange(0, 700)) for t in ("w", "y") for i in range(40)]
+    rows += [("z", i, "a", "d", 250) for i in range(61)] + [("zz", 5, None, None, None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "target string, ord bigint, source_file string, repo_dir string, n int")
+    got = {(x.target, x.ord): x.batch_ord for x in batches.assign_batches(df, keep=("n",), parts=parts).collect()}
+    want = {}
+    for t in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == t), key=lambda x: x[1])
+        want |= {(t, x[1]): b for x, b in zip(own, plain([(x[2:4], x[4] or 0) for x in own], 500))}
+    assert got == want
+    assert batches.assign_batches(df.where("false"), keep=(), parts=parts).count() == 0
+
+
+def test_transitions_against_a_plain_loop():
+    r = random.Random(3)
+    for _ in range(60):
+        limit, n = r.randrange(1, 30), [r.randrange(0, 40) for _ in range(r.randrange(1, 25))]
+        first, opened, left = batches.transitions(np.array(n), limit)
+        for entry in range(limit + 1):
+            fill, count, where = entry, 0, len(n)
+            for i, x in enumerate(n):
+                x = max(1, x)
+                if fill + x > limit:
+                    fill, count, where = 0, count + 1, min(where, i)
+                fill += x
+            assert (first[entry], opened[entry], left[entry]) == (where, count, min(fill, limit))
+
+
+def test_batch_count(spark):
+    rows = [([],), ([280, 250],), ([200, 300, 1, 900, 1],), ([0, None, 500],), (None,)]
+    got = spark.createDataFrame(rows, "n array<int>").select(batches.batch_count(F.col("n")).alias("k"), batches.batch_numbers(F.col("n")).alias("b")).collect()
+    assert [r.k for r in got] == [0, 2, 4, 2, None] and [r.b for r in got][:3] == [[], [0, 1], [0, 0, 1, 2, 3]] and got[4].b == []
+
+
 def test_batch_rows(spark):
     f = spark.createDataFrame([("t", 1, "p1", "甲", 280, 1), ("t", 2, "p2", "乙", 250, 2), ("t", 3, "p3", "丙", 9, 2)], "target string, ord bigint, piece_id string, original_text string, n int, batch_ord bigint")
     got = batches.batch_rows(f, ["target"], "ord").orderBy("batch_ord").collect()
