@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import flags, modeljson, pytext
 from ..operators import adjudicate, batches, citations, dedupe, fragments, ordered, overview, progress, review, scope, screening, workspace
 from ..sinks import corpus_yaml, record_files
-from ..sources import corpus, records
+from ..sources import corpus, records, work_pages
 from . import run as job
 from . import screen
 from .log import ResponseLog
@@ -537,13 +538,43 @@ def q_project_records(spark, sf):
 @query(f"""with {_LINES} select 'targeted::' || doc_id || '::' || printf('%08d-%05d', doc_id, pos) as manual_review_key, source as source_file, 'by the / ment / der' as theme_line, '自动兜底失败，需人工审核。short' as manual_review_reason, md5(t) as text_md5
 from f join (select doc_id from documents where length(text) < 500) using (doc_id)""")
 def q_manual_review(spark, sf):
+    e = _review(spark, sf)
+    return e.select("manual_review_key", "source_file", review.theme_line(F.col("matched_theme"), F.col("candidate_themes")).alias("theme_line"), "manual_review_reason", F.md5("original_text").alias("text_md5"))
+
+
+def _review(spark, sf):
     # documents under 500 characters stand for requests that no model could answer
     d = read(spark, sf, "documents")
     f = fragments.line_fragments(d).join(d.select("doc_id", F.col("source").alias("source_file")), "doc_id")
     rows = d.select(F.col("doc_id").cast("string").alias("key"), F.lit("").alias("source_file"), F.lit(None).cast("string").alias("theme"), F.array(*(F.lit(t) for _, t in screen.THEMES)).alias("themes"), F.when(F.length("text") < 500, "manual").otherwise("ok").alias("status"), F.lit("short").alias("error"), F.col("doc_id").alias("_d"))
     ids = f.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("piece_id").alias("piece_ids"))
-    e = review.review_entries(rows.join(ids, "_d"), f, "targeted")
-    return e.select("manual_review_key", "source_file", review.theme_line(F.col("matched_theme"), F.col("candidate_themes")).alias("theme_line"), "manual_review_reason", F.md5("original_text").alias("text_md5"))
+    return review.review_entries(rows.join(ids, "_d"), f, "targeted")
+
+
+@query(f"""with {_LINES}, e as (select 'targeted::' || doc_id || '::' || printf('%08d-%05d', doc_id, pos) k, printf('%08d-%05d', doc_id, pos) piece, source, lang, t from f join (select doc_id from documents where length(text) < 500) using (doc_id))
+select row_number() over (order by k) as section, k as manual_review_key, md5('## ' || row_number() over (order by k) || '. ' || piece || ' | targeted | by the / ment / der' || chr(10) || chr(10) || '- 文献: ' || source || chr(10) || '- 目录: ' || lang || chr(10) || '- 原因: 自动兜底失败，需人工审核。short'
+  || chr(10) || '- 候选主题: by the; ment; der' || chr(10) || chr(10) || '```text' || chr(10) || t || chr(10) || '```' || chr(10)) as markdown_md5 from e""")
+def q_review_report(spark, sf):
+    e = _review(spark, sf)
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("_d"), F.col("lang").alias("repo_dir"))
+    e = e.withColumn("_d", F.split("manual_review_key", "::")[1]).join(d, "_d").drop("_d")
+    out = corpus_yaml.review_sections(ordered.ranked(e, ["manual_review_key"], "section"), "section")
+    return out.select("section", "manual_review_key", F.md5("markdown").alias("markdown_md5"))
+
+
+@query(f"with recursive {_FINAL} select row_number() over (order by piece_id, theme) as place, piece_id, theme as matched_theme, judgment from fin")
+def q_ordered_records(spark, sf):
+    r = screen.final_records(read(spark, sf, "documents")).withColumnRenamed("theme", "matched_theme").select("piece_id", "matched_theme", "judgment")
+    return ordered.ranked(r, ["piece_id", "matched_theme"], "place")
+
+
+@query(f"with recursive {_VERDICTS}, w as (select doc_id, b, theme from c where doc_id % 3 <> 0) select row_number() over (order by doc_id, b, case theme when 'by the' then 1 when 'ment' then 2 else 3 end) as place, doc_id, b::int as batch, theme from w")
+def q_ordered_pairs(spark, sf):
+    # answers to all pairs, of which two documents in three are asked for: in the order of batch and theme, others left out
+    c = screen.candidates(screen.document_batches(read(spark, sf, "documents"))).withColumn("key", F.concat_ws("::", "doc_id", "batch", "theme"))
+    number = F.element_at(F.create_map(*(x for i, t in screen.THEMES for x in (F.lit(t), F.lit(i)))), F.col("theme"))
+    work = c.where("doc_id % 3 <> 0").select("key", "doc_id", "batch", number.alias("theme_no"))
+    return ordered.in_work_order(c.select("key", "theme"), work, "key", ["doc_id", "batch", "theme_no"]).select("place", "doc_id", "batch", "theme")
 
 
 @query("select doc_id from documents where lang <> 'en'")
@@ -648,6 +679,24 @@ def q_openalex_works(spark, sf):
     return out.drop("id").withColumn("authors", F.array_join("authors", "|"))
 
 
+@query("""with w as (select distinct p_partkey seed, l_orderkey work from part join lineitem on l_partkey = p_partkey where p_size = 7)
+select 'cites:W' || seed as "filter", ((row_number() over (partition by seed order by work) - 1) // 50 + 1)::int as page, ((row_number() over (partition by seed order by work) - 1) % 50)::int as pos,
+       'W' || work as openalex_id, 'work ' || work as title, (work % 5)::int as cited_by_count from w""")
+def q_work_pages(spark, sf):
+    # works that cite the seeds, recorded as pages of 50, read by the data source without a network
+    seeds = read(spark, sf, "part").where("p_size = 7").select("p_partkey")
+    cites = read(spark, sf, "lineitem").join(seeds, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "l_orderkey").distinct()
+    work = F.struct(F.concat(F.lit("https://openalex.org/W"), "l_orderkey").alias("id"), F.concat(F.lit("work "), "l_orderkey").alias("display_name"), (F.col("l_orderkey") % 5).alias("cited_by_count"))
+    every = cites.select(F.concat(F.lit("cites:W"), "p_partkey").alias("filter"), "l_orderkey", F.to_json(work).alias("payload"))
+    placed = ordered.running_sum(every.withColumn("one", F.lit(1)), ["filter"], "l_orderkey", "one", "upto").select("filter", (F.col("upto") - 1).alias("at"), "payload")
+    folder = scratch_dir(spark)
+    work_pages.record(placed, folder)
+    spark.dataSource.register(work_pages.WorkPages)
+    filters = json.dumps([f"cites:W{r[0]}" for r in seeds.collect()])  # what a user asks for
+    pages = spark.read.format("work_pages").option("filters", filters).option("replay", folder).load()
+    return citations.normalize_works(pages).select("filter", "page", "pos", "openalex_id", "title", "cited_by_count")
+
+
 @query("select page_id, 'W' || page_id as work, '10.1/' || page_id as doi from pages")
 def q_work_ids(spark, sf):
     p = read(spark, sf, "pages").select("page_id", F.concat(F.lit("https://openalex.org/W"), "page_id").alias("id"), F.concat(F.lit("https://doi.org/10.1/"), "page_id").alias("d"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..jobs.state import scratch_dir
+
 BLOCK = 1 << 20  # a power of 2
 _PAST = (W.unboundedPreceding, -1)
 
@@ -87,3 +89,24 @@ def run_numbers(df: DataFrame, by: list[str], order: str, cols: list[str], name:
     over = over.select(*by, "_over", (F.sum(F.col("_turn") + F.col("_m")).over(through(w)) - F.col("_m")).alias("_far"))
     edges = blocks.select(*by, "_over", "_block", "_near").join(over, [*by, "_over"]).select(*by, "_block", (F.col("_near") + F.col("_far")).alias("_edge"))
     return d.join(edges, [*by, "_block"]).select(*df.columns, (F.col("_edge") + F.col("_here")).cast("bigint").alias(name))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the row's place, from 1, in the order of the given columns, of any type; equal rows in any order.
+
+    Rows are sorted into ranges and stored, so that a row's range and its place there can't change; a table with a row for
+    each range then says how many rows come before. No task sees more than a range.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    # the number is the partition's, in the upper bits, and the place in the sorted partition
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    d = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    ranges = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = ranges.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(*_PAST)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return d.join(F.broadcast(before), "_range").select(*df.columns, place.alias(name))  # as many ranges as partitions
+
+
+def in_work_order(answers: DataFrame, work: DataFrame, key: str, order: list[str], name: str = "place") -> DataFrame:
+    """Answers of the work that is asked for, stale ones left out, with their place in its order. work: key, order columns."""
+    return ranked(work.select(key, *order).join(answers, key), order, name)

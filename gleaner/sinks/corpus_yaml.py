@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
 from ..operators.review import theme_line
 
 #: a scalar of only these may stand bare
@@ -39,9 +40,30 @@ def write_corpus(records: DataFrame, path: str) -> None:
     out.repartitionByRange("_o", "piece_id", "matched_theme").sortWithinPartitions("_o", "piece_id", "matched_theme").select(F.col("yaml").alias("value")).write.mode("overwrite").text(path)
 
 
-def review_sections(entries: DataFrame) -> DataFrame:
-    """(manual_review_key, markdown) of review entries."""
-    c = lambda n: F.coalesce(F.col(n), F.lit(""))
-    head = F.concat(F.lit("## "), F.coalesce(F.nullif("piece_id", F.lit("")), F.lit("未知 piece_id")), F.lit(" | "), c("manual_review_stage"), F.lit(" | "), theme_line(F.col("matched_theme"), F.col("candidate_themes")))
-    body = F.concat(head, F.lit("\n\n- 文献: "), c("source_file"), F.lit("\n- 原因: "), c("manual_review_reason"), F.lit("\n\n```text\n"), c("original_text"), F.lit("\n```\n"))
-    return entries.select("manual_review_key", body.alias("markdown"))
+# fixed values
+REPORT = "# Manual Review Required\n\n以下 fragment 需要人工审核。自动筛查与 fallback 均未能稳定返回可用结构化结果。\n"
+NOTHING = "当前无需要人工审核的 fragment。\n"
+
+
+def review_sections(entries: DataFrame, number: str | None = None) -> DataFrame:
+    """(manual_review_key, markdown) of review entries, and their number where a column has one.
+
+    Columns repo_dir, batch_id and generated_at are told where there are such.
+    """
+    c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in entries.columns else F.lit("")
+    counted = F.concat(F.col(number).cast("string"), F.lit(". ")) if number else F.lit("")
+    head = F.concat(F.lit("## "), counted, F.coalesce(F.nullif("piece_id", F.lit("")), F.lit("未知 piece_id")), F.lit(" | "), F.coalesce(F.nullif(c("manual_review_stage"), F.lit("")), F.lit("unknown")), F.lit(" | "), theme_line(F.col("matched_theme"), F.col("candidate_themes")))
+    facts = [F.concat(F.lit(f"\n- {said}: "), c(n)) for said, n in (("目录", "repo_dir"), ("批次", "batch_id"), ("时间", "generated_at")) if n in entries.columns]
+    listed = F.filter("candidate_themes", lambda t: F.trim(t) != "")
+    candidates = F.when((F.coalesce("matched_theme", F.lit("")) == "") & (F.size(listed) > 0), F.concat(F.lit("\n- 候选主题: "), F.array_join(listed, "; "))).otherwise("")
+    body = F.concat(head, F.lit("\n\n- 文献: "), c("source_file"), *facts, F.lit("\n- 原因: "), c("manual_review_reason"), *([candidates] if number else []), F.lit("\n\n```text\n"), c("original_text"), F.lit("\n```\n"))
+    return entries.select(*([number] if number else []), "manual_review_key", body.alias("markdown"))
+
+
+def write_review(entries: DataFrame, path: str, order: tuple[str, ...] = ("manual_review_key",)) -> None:
+    """The review report as text files: concatenated in name order they are one document, its sections numbered 1 to n."""
+    sections = review_sections(ranked(entries, list(order), "section"), "section").select("section", "markdown")
+    empty = sections.limit(1).count() == 0
+    head = sections.sparkSession.createDataFrame([(0, REPORT + (f"\n{NOTHING}" if empty else ""))], "section bigint, markdown string")
+    out = head.unionByName(sections).repartitionByRange("section").sortWithinPartitions("section")
+    out.select(F.col("markdown").alias("value")).write.mode("overwrite").text(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pytext import lines, newlines, strip
-from ..operators.fragments import title
+from ..operators.fragments import first_fragments, fragment_rows, title
 from ..operators.scope import REPO, normalize_scope
 
 # fixed values
@@ -45,13 +45,65 @@ def page_marked_tree(spark: SparkSession, root: str, targets: DataFrame) -> Data
     wanted = [r[0] for r in targets.select(F.explode("repo_dirs")).distinct().collect()]  # folder names
     if not wanted:
         return spark.createDataFrame([], "target string, repo_dir string, text_file string, source_file string, raw_text string, fallback_piece_id string")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load([f"{root}/{d}" for d in sorted(wanted)])
+    return _texts(spark, [f"{root}/{d}" for d in sorted(wanted)], targets)
+
+
+def _texts(spark: SparkSession, paths: list[str], targets: DataFrame) -> DataFrame:
+    """The texts of folders or files, for each target that holds their repository."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(paths)
     t = _decode(files).withColumn("repo_dir", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     t = t.withColumn("text_file", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("stem", F.regexp_replace("text_file", r"\.txt$", ""))
     t = t.join(targets.select(F.col("token").alias("target"), F.explode("repo_dirs").alias("repo_dir")), "repo_dir")
     return t.select("target", "repo_dir", "text_file", title(F.col("text"), F.col("stem")).alias("source_file"), F.col("text").alias("raw_text"), F.concat("stem", F.lit("_fallback_0001")).alias("fallback_piece_id"))
 
 
+def chosen_files(spark: SparkSession, root: str, targets: DataFrame, limit: int) -> dict[str, list[str]]:
+    """For each target the first files, by repository and name, that hold `limit` fragments together; the first one at least.
+
+    Names are listed, no more files read than doubling needs: 1, then 2, 4, ... of each target that still lacks fragments. A
+    file is counted once, by one job for all targets of a turn.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    left, out, have = {}, {}, {}
+    for t in targets.select("token", "repo_dirs").collect():  # names only
+        names = []
+        for d in sorted(t.repo_dirs):
+            folder = fs_path(f"{root}/{d}")
+            fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            if fs.exists(folder):
+                names += [f"{d}/{n}" for n in sorted(s.getPath().getName() for s in fs.listStatus(folder)) if n.endswith(".txt")]
+        left[t.token], out[t.token], have[t.token] = names, [], 0
+    width, counts = 1, {}
+    while True:
+        turn = {t: names[:width] for t, names in left.items() if names and (not out[t] or have[t] < limit)}
+        if not turn:
+            return out
+        new = sorted({f for names in turn.values() for f in names} - counts.keys())
+        if new:
+            one = spark.createDataFrame([("", sorted({f.split("/")[0] for f in new}))], "token string, repo_dirs array<string>")
+            found = fragment_rows(_texts(spark, [f"{root}/{f}" for f in new], one)).groupBy("repo_dir", "text_file").count().collect()
+            counts |= dict.fromkeys(new, 0) | {f"{r.repo_dir}/{r.text_file}": r["count"] for r in found}
+        for t, names in turn.items():
+            for f in names:
+                if out[t] and have[t] >= limit:
+                    break
+                out[t].append(f)
+                have[t] += counts[f]
+            left[t] = left[t][len(names) :]
+        width *= 2
+
+
+def first_fragments_of_tree(spark: SparkSession, root: str, targets: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` fragments of each target by repository, file and page: only the files that hold them are scanned."""
+    chosen = chosen_files(spark, root, targets, limit)
+    pairs = [(t, *f.split("/")) for t, names in chosen.items() for f in names]
+    if not pairs:
+        return fragment_rows(page_marked_tree(spark, root, targets.where("false")))
+    texts = _texts(spark, sorted({f"{root}/{d}/{n}" for _, d, n in pairs}), targets)
+    own = spark.createDataFrame(pairs, "target string, repo_dir string, text_file string")
+    return first_fragments(fragment_rows(texts.join(F.broadcast(own), ["target", "repo_dir", "text_file"], "left_semi")), ["target"], ["repo_dir", "text_file", "pos"], limit)
+
+
 def documents_corpus(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang, source): the source is the target, the language the repository, a document a file."""
     name = F.format_string("%08d", "doc_id")

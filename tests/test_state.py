@@ -53,6 +53,38 @@ def test_replay_equals_steps(spark):
         assert (r.status, r.n_completed, r.run_count, r.piece_count, r.errors) == (p.status, len(p.completed), p.run_count, p.piece_count, errors)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_replay_of_a_long_log_in_ranges(spark, parts):
+    """One project with most of the log, dealt to many ranges, equals single steps; every field, resets included."""
+    import random
+
+    r, rows = random.Random(parts), []
+    for k, n in ((1, 6), (2, 150), (3, 5), (4, 3), (9, 40)):
+        for i in range(n):
+            action = r.choice(["start", "start", "checkpoint", "pause", "complete", "jump"] + ["reset"] * (r.random() < 0.2))
+            rows.append((k, i * 2, action, r.choice(["", "", "KR3j", "KR3j0160", "KR1a", "KR9"]), r.choice([0, 1, 5, -1]), r.choice([None, f"c{i}"]), r.choice([None, f"p{i}", ""]), r.choice([None, None, f" n{i} "])))
+    shuffled = list(rows)
+    r.shuffle(shuffled)
+    df, targets = spark.createDataFrame(shuffled, "project bigint, seq int, action string, target string, delta int, cursor string, piece string, note string"), ("KR3j", "KR3j0160", "KR1a")
+    got = {x.project: x for x in progress.replay(df, targets, parts).collect()}
+    assert len(got) == 5 and progress.replay(df.where("false"), targets, parts).count() == 0
+    for k, x in got.items():
+        p, errors = Progress(targets=targets), 0
+        for _, _, a, t, d, c, piece, note in (y for y in rows if y[0] == k):
+            try:
+                p = step(p, a, t, c, piece, note, d)
+            except ProgressError:
+                errors += 1
+        assert tuple(x) == (k, p.status, p.current, len(p.completed), p.cursor, p.last_piece, p.note, p.run_count, p.piece_count, errors)
+
+
+def test_replay_of_many_targets(spark):
+    targets = tuple(f"T{i}" for i in range(12))
+    rows = [(1, i, a, "", 1) for i, a in enumerate(["start", "complete"] * 12)]
+    (x,) = progress.replay(spark.createDataFrame(rows, "project bigint, seq int, action string, target string, delta int"), targets).collect()
+    assert (x.status, x.n_completed, x.run_count, x.piece_count) == ("completed", 12, 12, 24)
+
+
 def requests(spark, n):
     return spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("p"), "id").alias("prompt"))
 
