@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values
@@ -34,3 +38,29 @@ def next_stage(status: DataFrame, last: int = 6) -> DataFrame:
     out = status.groupBy("project").agg(open_.alias("o"), F.max("stage").alias("top"))
     nxt = F.coalesce("o", F.when(F.col("top") < last, F.col("top") + 1))
     return out.select("project", (F.coalesce(F.col("o"), F.col("top") + 1) - 1).alias("highest_completed_stage"), nxt.alias("next_stage"))
+
+
+def project_names(spark: SparkSession, root: str) -> list[str]:
+    """The folders below a root, sorted; hidden ones are no projects."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(path) if store.exists(path) else []
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() and not s.getPath().getName().startswith("."))
+
+
+def present_files(spark: SparkSession, root: str, partitions: int = 8) -> DataFrame:
+    """(project, path): the files of all projects, as `stage_status` takes them, listed by tasks, in stores that Arrow reaches.
+
+    Spark's own listing passes over folders whose names begin with "_".
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for project in b.column(0).to_pylist():
+                top = f"{base.rstrip('/')}/{project}"
+                paths = [f.path[len(top) + 1 :] for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file]
+                yield pa.RecordBatch.from_arrays([pa.array([project] * len(paths), pa.string()), pa.array(paths, pa.string())], ["project", "path"])
+
+    names = spark.createDataFrame([(p,) for p in project_names(spark, root)], "project string")
+    return names.repartition(partitions).mapInArrow(listed, "project string, path string")

@@ -257,3 +257,33 @@ def test_steps_on_random_logs():
             except ProgressError:
                 assert want is None
             assert (p.status, list(p.completed), p.current, p.run_count, p.piece_count) == (s["status"], s["completed"], s["current"], s["runs"], s["pieces"])
+
+
+def test_manifest(spark, tmp_path):
+    from gleaner.jobs import manifest
+
+    path = str(tmp_path / "manifest.json")
+    assert manifest.read_manifest(spark, path) == {}
+    json.dump({"analysis_targets": ["kr3J", "KR3j", "", "KR3j0160"], "status": " ", "last_run_note": "  ", "last_run_at": "x", "other": 1, "retrieval_progress": {"completed_targets": ["KR3J", "gone"], "current_target": "KR3j", "run_count": "-2", "completed_piece_count": "7"}}, open(path, "w"))
+    m = manifest.read_manifest(spark, path)
+    assert m["analysis_targets"] == ["KR3j", "KR3j0160"] and m["status"] == "configured" and m["stage2_manifest_version"] == 2 and m["other"] == 1 and m["last_run_at"] == "x" and "last_run_note" not in m
+    p = m["retrieval_progress"]
+    assert (p["status"], p["completed_targets"], p["pending_targets"], p["current_target"], p["run_count"], p["completed_piece_count"]) == ("paused", ["KR3j"], ["KR3j0160"], "", 0, 7)
+    m = manifest.advance(spark, path, "start", target="kr3j0160", note=" go ")
+    assert (m["retrieval_progress"]["current_target"], m["retrieval_progress"]["run_count"], m["retrieval_progress"]["notes"], m["retrieval_progress"]["status"]) == ("KR3j0160", 1, "go", "running")
+    m = manifest.advance(spark, path, "complete", delta=3)
+    assert m["retrieval_progress"]["status"] == "completed" and manifest.read_manifest(spark, path)["retrieval_progress"]["completed_piece_count"] == 10
+    assert "retrieval_progress" not in manifest.normalized({"retrieval_progress": "odd", "analysis_targets": "odd"})
+
+
+def test_projects(spark, tmp_path):
+    root = tmp_path / "outputs"
+    for f in ("a-project/1_journal_targeting.md", "a-project/1_research_proposal.md", "a-project/_stage3b/papers/x.pdf", ".hidden/y.md", "b/z.md"):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("t")
+    assert workspace.project_names(spark, str(root)) == ["a-project", "b"] and workspace.project_names(spark, str(tmp_path / "none")) == []
+    present = workspace.present_files(spark, str(root))
+    assert sorted(map(tuple, present.collect())) == [("a-project", "1_journal_targeting.md"), ("a-project", "1_research_proposal.md"), ("a-project", "_stage3b/papers/x.pdf"), ("b", "z.md")]
+    required = spark.createDataFrame(workspace.REQUIRED, "stage int, path string")
+    got = {(r.project, r.stage): r.status for r in workspace.stage_status(required, present).collect()}
+    assert got["a-project", 1] == "complete" and got["a-project", 3] == "partial" and got["b", 1] == "missing"
