@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,32 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
+    """A stream sorted by a whole-number column in tables of whole groups, each as soon as it has at_least rows: what a task
+    holds follows from its largest group, not from its partition."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        while b.num_rows:
+            k = b.column(key).to_numpy()
+            if n >= at_least:
+                # up to where the last held group ends
+                same = k == held[-1].column(key)[-1].as_py()
+                cut = len(k) if same.all() else int(np.argmin(same))
+                if cut:
+                    held.append(b.slice(0, cut))
+                    b = b.slice(cut)
+                if b.num_rows:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+                continue
+            take = min(len(k), at_least - n)
+            held.append(b.slice(0, take))
+            n, b = n + take, b.slice(take)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union positions a[i] and b[i]; label holds each position's smallest reachable position."""
     while True:

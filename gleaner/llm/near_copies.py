@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import maybe_broadcast, save, whole_groups
 from .components import connected_components
 from .simhash import fingerprint_links, majority, shingle_hashes
 from .tokens import pieces_of
 
 AT_ONCE = 1 << 12  # shingles whose minima are taken at once
+ROWS_AT_ONCE = 1 << 18  # rows of whole bands that a task joins at once
 
 
 def _band_hashes(hashes: np.ndarray, odd: np.ndarray, bands: int) -> list[int]:
@@ -66,17 +67,14 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, row) -> (a, b): each row and the first one with its band."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    band, row = t.column(0).to_numpy(), t.column(1).to_numpy()
-    order = np.lexsort((row, band))
-    band, row = band[order], row[order]
-    new = np.append(True, band[1:] != band[:-1])
-    first = row[np.flatnonzero(new)][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([row[~new], first[~new]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    for t in whole_groups(batches, "band", ROWS_AT_ONCE):
+        band, row = t.column(0).to_numpy(), t.column(1).to_numpy()
+        order = np.lexsort((row, band))
+        band, row = band[order], row[order]
+        new = np.append(True, band[1:] != band[:-1])
+        first = row[np.flatnonzero(new)][np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([row[~new], first[~new]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -145,7 +143,7 @@ def _confirm(shingle: int, threshold: float):
 
 def links(docs: DataFrame, each: DataFrame, shingle: int = 5, threshold: float = 0.8, block: int = 4000) -> DataFrame:
     """(a, b): links between rows that span all links. docs: row, text; each: row, fp, bands of distinct sets."""
-    bands = each.select(F.explode("bands").alias("band"), "row").repartition("band").mapInArrow(_stars, "a long, b long")
+    bands = each.select(F.explode("bands").alias("band"), "row").repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a long, b long")
     fps = save(each.where(F.size("bands") > 0).groupBy("fp").agg(F.min("row").alias("rep")), "fingerprints")
     same = each.where(F.size("bands") > 0).join(fps, "fp").where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
     near = save(bands.distinct().unionByName(same).unionByName(fingerprint_links(fps)), "candidates")

@@ -25,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, merge_labels, save
+from .common import maybe_broadcast, merge_labels, save, whole_groups
 from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PAIRS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 17  # fingerprints of whole groups that a task joins at once
 DIVISIONS = 2
 
 
@@ -107,19 +108,16 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int) -> Iterator[tuple
 
 def _forest(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        g, fp, rep = (t.column(i).to_numpy() for i in range(3))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, g))
-        g, fp, rep = g[order], fp[order], rep[order]
-        label = np.arange(len(fp))
-        for a, b in trie_pairs(g, fp, budget):
-            label = merge_labels(label, a, b)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+        for t in whole_groups(batches, "g", ROWS_AT_ONCE):
+            g, fp, rep = (t.column(i).to_numpy() for i in range(3))
+            fp = fp.view(np.uint64)
+            order = np.lexsort((fp, g))
+            g, fp, rep = g[order], fp[order], rep[order]
+            label = np.arange(len(fp))
+            for a, b in trie_pairs(g, fp, budget):
+                label = merge_labels(label, a, b)
+            linked = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
 
     return run
 
@@ -150,7 +148,7 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, max_group: int = 200_000)
         hot = save(spread.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("g"), "hot")
         some = level < DIVISIONS and hot.limit(1).count()
         cold = spread.join(maybe_broadcast(hot, 100_000), "g", "left_anti") if some else spread
-        found = cold.select("g", "fp", "rep").repartition("g").mapInArrow(_forest(budget), "a long, b long")
+        found = cold.select("g", "fp", "rep").repartition("g").sortWithinPartitions("g").mapInArrow(_forest(budget), "a long, b long")
         out = found if out is None else out.unionByName(found)
         if not some:
             return out
