@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 from .vectors import EXACT, LONGS, Best, best_first, ids, matrix, meet, meetings, norms, whole, with_cells, with_parts
 
 
@@ -97,6 +97,7 @@ def hard_negatives(
     celled = with_cells(rows, shard_rows, sample_rows)
     sharded, shards = with_parts(celled, shard_rows, "shard")
     sharded = save(sharded.select("dim", "cell", "shard", "row", "vec_id", "label", "v", "is_anchor"), "sharded")
+    discard(rows)
     anchors = sharded.where("is_anchor")
     shift = max(0, (max(shards, 1) * chunk // max(anchors.count(), 1)).bit_length() - 1)
     anchors = save(with_parts(anchors, chunk, "chunk", shift)[0].select("dim", "chunk", "row", "vec_id", "label", "v"), "anchors")

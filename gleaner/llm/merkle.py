@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save
+from .common import discard, maybe_broadcast, save
 
 HEIGHT = 10
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -221,7 +221,9 @@ def manifest(docs: DataFrame, altered: Column | None = None, height: int = HEIGH
     # no tree is null, and the one without a language comes first
     tree = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
     rows = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf_digest(**values).alias("digest"), changed.alias("changed"), F.monotonically_increasing_id().alias("_row"))
-    leaves = save(numbered(save(rows, "leaves"), ["doc_id", "digest", "_row"]).drop("_row"), "ordered")
+    rows = save(rows, "leaves")
+    leaves = save(numbered(rows, ["doc_id", "digest", "_row"]).drop("_row"), "ordered")
+    discard(rows)
     segments, above, tops = grow(leaves.select("tree", "idx", "n", "digest"), height)
 
     roots = tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))

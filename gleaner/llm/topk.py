@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 from .vectors import Best, best_first, dots, halve, ids, matrix, meet, meetings, norms, sorted_groups, whole, with_cells, with_parts
 
 LEAF = 64
@@ -127,6 +127,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     names = ["dim", "shard", "row", "vec_id", "v", "is_query"]
     index = sharded.select(*names).repartition("shard").sortWithinPartitions("shard")
     index = save(index.mapInArrow(build, "dim int, shard long, row long, vec_id long, v array<long>, is_query boolean, leaf long, kth double"), "index")
+    discard(rows)
     asked = index.where("is_query").withColumn("cell", F.col("shard"))
     # queries of so many neighbouring shards as fill a chunk are one
     shift = max(0, (shards * chunk // max(asked.count(), 1)).bit_length() - 1)
