@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast, save
 
 EXACT = float(1 << 53)  # whole numbers below are exact as doubles
+SAMPLE = 1 << 22  # components of a sample that the driver holds
 LONGS = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -100,12 +101,14 @@ class Cells:
 
 
 def with_cells(rows: DataFrame, part_rows: int, sample_rows: int = 8192, least: int = 64) -> DataFrame:
-    """rows (row, v, dim, ...) with `cell`: trees for each dim, fitted on the `sample_rows` rows of smallest hash.
+    """rows (row, v, dim, ...) with `cell`: trees for each dim, fitted on the `sample_rows` rows of smallest hash (of wide
+    vectors on fewer: SAMPLE components at most).
 
     Deep enough for about `part_rows` rows in a cell, if each leaf still has `least` rows of the sample. Rows of a
     dimension that the sample lacks are one cell. Cells only decide what lies together, never what is compared.
     """
-    n = rows.count()
+    n, widest = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
+    sample_rows = min(sample_rows, SAMPLE // max(widest or 1, 1) + 1)
     sample = rows.select("dim", "v", F.xxhash64("row").alias("h")).orderBy("h").limit(sample_rows).select("dim", "v").toArrow()
     trees: dict[int, Cells] = {}
     dims = sample.column("dim").to_numpy()
