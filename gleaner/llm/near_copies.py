@@ -7,11 +7,14 @@ more; groups are the components of these links.
 2. Candidates come from the trie self-join of `simhash` over fingerprints of the same shingles, and from bands of
    minima: on sf0.1 pairs of similarity 0.8 to 0.9 differ in more than 12 of 64 bits at times, and 13 or more blocks of
    64 bits are too short to keep groups small. A band is the hash of `rows` minima; a pair at the threshold has none of `bands` bands in
-   common with a probability of (1 - threshold ** rows) ** bands, 5e-6 by default. Candidates are only joined into
-   clusters: each document names the first one with its band, so a large group makes no more rows than it has.
-3. A cluster's documents meet with their texts and are compared exactly: a document's rarest shingles, as many as
-   one of them must occur in each similar set (prefix filter), name those to compare. Pairs that links already
-   join are skipped. A cluster of more than `block` documents goes as pairs of blocks, to a task each.
+   common with a probability of (1 - threshold ** rows) ** bands, 5e-6 by default.
+3. In each band a document is paired with the first one, so a large group makes no more pairs than it has rows. Pairs are
+   confirmed exactly, by their sets of 64-bit shingle hashes; components are made of confirmed links alone, so texts that only share
+   some boilerplate don't chain.
+4. A band whose documents are still in several components (and more than two, as the first is paired with each) is
+   gone through as a whole: a document's rarest shingles, as many as one of them must occur in each similar set (prefix
+   filter), name those to compare; pairs that links already join are skipped. Bands with the same documents count once. A
+   band of more than `block` documents goes as pairs of blocks, to a task each.
 
 Defined cases: null, empty and wordless texts have the empty set and are copies of each other. Rows are told apart by a
 saved row number: a null doc_id is a document like others, as are rows that repeat a doc_id.
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, save, whole_groups
+from .common import discard, maybe_broadcast, save, whole_groups
 from .components import connected_components
 from .simhash import fingerprint_links, majority, shingle_hashes
 from .tokens import pieces_of
@@ -66,19 +69,31 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, row) -> (a, b): each row and the first one with its band."""
+    """(band, row) -> (band, a, b): each row and the first one with its band."""
     for t in whole_groups(batches, "band", ROWS_AT_ONCE):
         band, row = t.column(0).to_numpy(), t.column(1).to_numpy()
         order = np.lexsort((row, band))
         band, row = band[order], row[order]
         new = np.append(True, band[1:] != band[:-1])
         first = row[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([row[~new], first[~new]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[~new]) for x in (band, row, first)], ["band", "a", "b"])
 
 
-def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Positions of linked sets: a spanning forest of all links. sets: distinct values each."""
+def _sets(shingle: int):
+    """(row, text) -> (row, items): the distinct shingles' hashes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces_of(batch, 1):
+                items = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.int64()))], ["row", "items"])
+
+    return run
+
+
+def similar_pairs(sets: list[np.ndarray], threshold: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of linked sets: a spanning forest of all links, beyond what is known. sets: distinct values each; known: each
+    set's component so far."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -95,6 +110,9 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, i
     order = np.argsort(keys, kind="stable")
     keys, where = keys[order], where[order]  # each shingle's documents, by size
     label, mark, out = np.arange(m), np.zeros(len(df), bool), []
+    if known is not None:
+        _, at, which = np.unique(known[by_size], return_index=True, return_inverse=True)
+        label = at[which]
     for at, i in enumerate(by_size.tolist()):
         p = prefix[at]
         lo, hi = np.searchsorted(keys, p), np.searchsorted(keys, p, "right")
@@ -120,45 +138,58 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, i
     return out
 
 
-def _confirm(shingle: int, threshold: float):
-    def judge(rows: list[int], texts: list[str]) -> pa.RecordBatch:
-        pairs = similar_pairs([np.unique(shingle_hashes(t, shingle)) for t in texts], threshold)
-        return pa.RecordBatch.from_arrays([pa.array([rows[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _compare(threshold: float):
+    """(key, row, comp, items), sorted by key -> (a, b): links between components of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, texts = None, [], []
-        for b in batches:  # sorted by key
-            for key, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if key != held and rows:
-                    yield judge(rows, texts)
-                    rows, texts = [], []
-                held = key
-                rows.append(row)
-                texts.append(text.as_py())
-        if rows:
-            yield judge(rows, texts)
+        for t in whole_groups(batches, "key", 1):
+            rows, comp = t.column("row").to_numpy(), t.column("comp").to_numpy()
+            key = t.column("key").to_numpy()
+            items = t.column("items").combine_chunks()
+            flat, ends = items.values.to_numpy(), items.offsets.to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for i, j in zip(cut, cut[1:]):
+                pairs = similar_pairs([flat[ends[k] : ends[k + 1]] for k in range(i, j)], threshold, comp[i:j])
+                if pairs:
+                    a, b = np.array(pairs).T + i
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], ["a", "b"])
 
     return run
 
 
 def links(docs: DataFrame, each: DataFrame, shingle: int = 5, threshold: float = 0.8, block: int = 4000) -> DataFrame:
     """(a, b): links between rows that span all links. docs: row, text; each: row, fp, bands of distinct sets."""
-    bands = each.select(F.explode("bands").alias("band"), "row").repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "a long, b long")
+    bands = each.select(F.explode("bands").alias("band"), "row").repartition("band").sortWithinPartitions("band")
+    shared = save(bands.mapInArrow(_stars, "band long, a long, b long"), "shared")
     fps = save(each.where(F.size("bands") > 0).groupBy("fp").agg(F.min("row").alias("rep")), "fingerprints")
     same = each.where(F.size("bands") > 0).join(fps, "fp").where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    near = save(bands.distinct().unionByName(same).unionByName(fingerprint_links(fps)), "candidates")
-    found = connected_components(near, "a", "b")
-    clusters = save(found.unionByName(found.select(F.col("component_id").alias("id"), "component_id").distinct()), "clusters")
-    big = clusters.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    big = save(big.select("component_id", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "big")
-    mine = clusters.join(maybe_broadcast(big, 100_000), "component_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    near = shared.select("a", "b").unionByName(same).unionByName(fingerprint_links(fps))
+    near = save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = save(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+    sets = docs.join(maybe_broadcast(wanted, 1_000_000), "row", "left_semi").select("row", F.col("text").cast("string").alias("text"))
+    sets = save(sets.mapInArrow(_sets(shingle), "row long, items array<long>"), "items")
+    side = lambda c: sets.select(F.col("row").alias(c), F.col("items").alias(f"{c}s"))
+    common = F.size(F.array_intersect("as", "bs"))
+    similar = common >= threshold * (F.size("as") + F.size("bs") - common) - 1e-9
+    confirmed = save(near.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"), "confirmed")
+    discard(near)
+
+    comps = connected_components(confirmed, "a", "b")
+    members = shared.select("band", F.col("a").alias("row")).unionByName(shared.select("band", F.col("b").alias("row")).distinct())
+    members = members.join(comps.withColumnRenamed("id", "row"), "row", "left").select("band", "row", F.coalesce("component_id", "row").alias("comp"))
+    members = save(members, "members")
+    who = (F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *who).where("n > 2 and low <> high")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
+    mixed = save(mixed.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed")
+    mine = members.join(maybe_broadcast(mixed, 1_000_000), "band")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
     mine = mine.withColumn("own", own).withColumn("j", F.explode(others))
-    key = F.struct("component_id", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"))
-    mine = save(mine.select(F.xxhash64(key).alias("key"), "id"), "meetings")
-    texts = docs.select(F.col("row").alias("id"), F.col("text").cast("string").alias("text")).join(maybe_broadcast(mine, 1_000_000), "id").select("key", "id", "text")
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(shingle, threshold), "a long, b long")
+    key = F.struct("band", F.least("own", "j").alias("p"), F.greatest("own", "j").alias("q"))
+    mine = save(mine.select(F.xxhash64(key).alias("key"), "row", "comp"), "meetings")
+    found = mine.join(sets, "row").select("key", "row", "comp", "items").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(threshold), "a long, b long")
+    return confirmed.unionByName(found)
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6, block: int = 4000) -> DataFrame:

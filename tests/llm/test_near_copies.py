@@ -63,6 +63,36 @@ def test_forest_spans_all_links():
     assert components(range(4), near_copies.similar_pairs(one, 0.8)) == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
+def test_forest_goes_on_from_what_is_known():
+    rows = copies(30, 8)
+    names = {}
+    sets = [np.array([names.setdefault(s, len(names)) for s in shingles(t)]) for _, t in rows]
+    ids = list(range(len(rows)))
+    links, _ = brute(rows)
+    some = links[::2]
+    low = components(ids, some)
+    more = near_copies.similar_pairs(sets, 0.8, np.array([low[i] for i in ids]))
+    assert components(ids, some + more) == components(ids, links) and len(more) < len(near_copies.similar_pairs(sets, 0.8))
+
+
+def test_bands_of_many_components(spark):
+    """Texts that share much, in bands with others that aren't their copies: pairs that no first document joins are found."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(12):
+        own = [f"o{k}x{i}" for i in range(55)]
+        for j in range(3):
+            body = base + own
+            body = [w if r.random() > 0.008 else f"n{k}{j}{r.random()}" for w in body]
+            rows.append((len(rows), " ".join(body)))
+    r.shuffle(rows)
+    links, pairs = brute(rows)
+    assert sum(0.4 < x < 0.8 for *_, x in pairs) > 300 and len(links) > 10
+    want = {i for i, c in components([i for i, _ in rows], links).items() if i == c}
+    assert {x.doc_id for x in near_copies.keep_representatives(frame(spark, rows)).collect()} == want
+
+
 def test_edges(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "A b\tc d"), (2, "a b c d"), (None, "other words"), (9, None), (8, ""), (7, "a b c e")]
     got = near_copies.keep_representatives(frame(spark, rows)).collect()
