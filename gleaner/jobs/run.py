@@ -233,7 +233,7 @@ class _Wave:
         b = packs.batches(marks).join(self.names(self.alive), "target")
         # a key that stays while the batch does, wherever it stands; asked anew where the target is forced
         key = [F.col("target"), F.when(F.col("epoch") > 0, F.concat(F.lit("e"), F.col("epoch").cast("string"))), F.col("source_file"), F.col("repo_dir"), F.col("occurrence").cast("string"), F.col("local").cast("string")]
-        b = b.withColumn("batch_key", F.concat_ws("::", *key)).drop("epoch")
+        b = self.stored("batches", b.withColumn("batch_key", F.concat_ws("::", *key)).drop("epoch"))
 
         self.phase("coarse_screening")
         requests = b.select("target", F.col("batch_key").alias("key"), screening.coarse_prompt(numbered, F.col("source_file"), F.col("batch_text")).alias("prompt"), "batch_text", "char_count")
