@@ -29,6 +29,13 @@ def frame(spark, rows, clash=()):
     return df.withColumns({c: F.lit("mine") for c in clash})
 
 
+def long_texts():
+    """Documents of several MB: prose, one line without spaces, and a copy of the prose with one word more."""
+    r = random.Random(9)
+    prose = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) + r.choice(["", "", ",", ".\n", "é"]) for _ in range(500_000))
+    return [(1, prose), (2, "0123456789ab正" * 60_000), (3, prose + " more"), (4, "short")]
+
+
 def components(ids, links):
     low = {i: i for i in ids}
     changed = True

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from gleaner.llm import simhash
-from .helpers import SCHEMA, components, corpus, frame
+from .helpers import SCHEMA, components, corpus, frame, long_texts
 
 
 def plain(text):
@@ -62,3 +62,11 @@ def test_edges(spark):
     kept = simhash.keep_representatives(df.withColumnRenamed("text", "text")).collect()
     assert sorted((r.doc_id for r in kept), key=repr) == sorted([None, 2, 8], key=repr)
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_texts_of_several_megabytes(spark):
+    rows = long_texts()
+    assert len(rows[0][1].encode()) > 3_000_000
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: f"{plain(t):016x}" for i, t in rows}
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 2, 1, 4]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import packing, token_store
 from gleaner.llm.tokens import WordTokenizer, default_path, pieces_of
-from .helpers import SCHEMA, corpus, frame
+from .helpers import SCHEMA, corpus, frame, long_texts
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +121,13 @@ def test_packing(spark, reference, group_rows):
     groups = {s >> 28 for s in bins}
     assert bound <= len(bins) <= bound + len(groups)
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), default_path()).count() == 0
+
+
+def test_texts_of_several_megabytes(spark, reference):
+    rows = long_texts()
+    ids = {i: np.array(reference(t) + [0], "<u4") for i, t in rows}
+    got = token_store.read_tokens(token_store.write_tokens(frame(spark, rows), default_path(), segment_ids=1 << 16)).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(x)) for i, x in ids.items()]
+    pieces = packing.pack_documents(frame(spark, rows), default_path()).collect()
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) for r in pieces) and sum(r.length for r in pieces) == sum(map(len, ids.values()))
+    assert len({r.sequence_id for r in pieces}) == packing.lower_bound(np.array([r.length for r in pieces]), 2048)
