@@ -49,7 +49,7 @@ def test_run_gives_the_last_stage(spark, tables):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_leaks_and_copies_without_doc_id_go(spark, tables):
