@@ -196,9 +196,8 @@ _KEPT = "select doc_id, pos, case when pos % 5 = 2 then trim('# ' || line) else
 @query(rf"""with {_LINES}, k as ({_KEPT}), j as (select doc_id, coalesce(string_agg(c, chr(10) order by pos) filter (c <> ''), '') a, coalesce(string_agg(regexp_replace(c, '\s', '', 'g'), chr(10) order by pos) filter (c <> ''), '') b from k group by 1)
 select documents.doc_id, md5(coalesce(a, '')) as clean_md5, md5(coalesce(b, '')) as compact_md5, length(replace(coalesce(b, ''), chr(10), ''))::int as n from documents left join j using (doc_id)""")
 def q_fragment_clean(spark, sf):
-    t = read(spark, sf, "documents").select("doc_id", _noisy().alias("t"))
-    a, b = fragments.clean_text(F.col("t")), fragments.clean_text(F.col("t"), compact=True)
-    return t.select("doc_id", F.md5(a).alias("clean_md5"), F.md5(b).alias("compact_md5"), pytext.length_without_breaks(b).alias("n"))
+    t = read(spark, sf, "documents").select("doc_id", fragments.clean_forms(_noisy()).alias("c"))
+    return t.select("doc_id", F.md5("c.clean").alias("clean_md5"), F.md5("c.compact").alias("compact_md5"), pytext.length_without_breaks(F.col("c.compact")).alias("n"))
 
 
 @query("select doc_id, length(replace(text, chr(10), ''))::int as n from documents")

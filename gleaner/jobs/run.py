@@ -36,10 +36,12 @@ class Paused(RuntimeError):
 
 @dataclass
 class Outcome:
-    records: DataFrame
+    """What all finished targets have; None where no target ever came that far."""
+
+    records: DataFrame | None
     summary: DataFrame
-    review: DataFrame
-    disputes: DataFrame
+    review: DataFrame | None
+    disputes: DataFrame | None
 
 
 def _said(x: Exception) -> str:
@@ -157,7 +159,8 @@ def run(
         update_json(spark, state, phase="completed")
         tell("phase", {"phase": "completed"})
         read = lambda name: _table(spark, f"{folder}/{name}", commits) if exists(spark, f"{folder}/{name}") else None
-        return Outcome(read("final_records"), summary, spark.read.parquet(f"{folder}/manual_review"), read("disputes"))
+        queue = spark.read.parquet(f"{folder}/manual_review") if exists(spark, f"{folder}/manual_review") else None
+        return Outcome(read("final_records"), summary, queue, read("disputes"))
     except Exception as x:
         update_json(spark, state, phase="failed", last_error=_said(x))
         raise

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import drop_spaces, lines, strip
+from ..functions.pytext import bind, drop_spaces, lines, strip
 
 # fixed values
 MARKER = r"<pb:([^>]+)>"
@@ -13,21 +13,33 @@ TECHNICAL = r"(?i)\bKR\d+[a-z]?\d*(?:_[A-Za-z0-9\-]+)*\b|_tls_|^pb:"
 LINE_MARK = "¶"
 
 
-def clean_text(text: Column, compact: bool = False) -> Column:
-    """The lines worth reading: no directives, blank lines, technical comments, markers or line marks."""
+def _bodies(text: Column) -> Column:
+    """The lines worth reading, without markers and marks: no directives, blank lines or technical comments."""
 
     def keep(line: Column) -> Column:
         comment = line.startswith("#")
         technical = F.when(comment, strip(F.regexp_replace(line, r"^#+", "")).rlike(TECHNICAL)).otherwise(False)
         return (line != "") & ~technical
 
-    def tidy(line: Column) -> Column:
-        body = F.replace(F.when(line.contains("<pb:"), F.regexp_replace(line, MARKER, "")).otherwise(line), F.lit(LINE_MARK), F.lit(""))
-        return drop_spaces(body) if compact else strip(body)
+    def unmarked(line: Column) -> Column:
+        return F.replace(F.when(line.contains("<pb:"), F.regexp_replace(line, MARKER, "")).otherwise(line), F.lit(LINE_MARK), F.lit(""))
 
     read = F.transform(F.filter(lines(text), lambda raw: ~raw.startswith("#+")), strip)
-    kept = F.filter(F.transform(F.filter(read, keep), tidy), lambda x: x != "")
-    return F.array_join(kept, "\n")
+    return F.transform(F.filter(read, keep), unmarked)
+
+
+def _text(bodies: Column, compact: bool) -> Column:
+    return F.array_join(F.filter(F.transform(bodies, drop_spaces if compact else strip), lambda x: x != ""), "\n")
+
+
+def clean_text(text: Column, compact: bool = False) -> Column:
+    """The lines worth reading: no directives, blank lines, technical comments, markers or line marks."""
+    return _text(_bodies(text), compact)
+
+
+def clean_forms(text: Column) -> Column:
+    """struct<clean, compact>: both forms of a text, whose lines are read once."""
+    return bind(_bodies(text), lambda b: F.struct(_text(b, False).alias("clean"), _text(b, True).alias("compact")))
 
 
 def fragment_rows(texts: DataFrame, text: str = "raw_text", fallback: str = "fallback_piece_id", compact: bool = False) -> DataFrame:

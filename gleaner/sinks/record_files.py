@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.adjudicate import merge_records
+from ..operators.citations import expansion_report
 from ..operators.ordered import ranked
 
 
@@ -31,3 +32,9 @@ def write_wrapped(records: DataFrame, path: str, order: tuple[str, ...] = ("piec
     rows = ranked(records, list(order), "_place").select("_place", F.concat(F.to_json(F.struct(*records.columns)), F.when(F.col("_place") < n, ",").otherwise("")).alias("value"))
     edges = records.sparkSession.createDataFrame([(0, lead[:-1] + ', "records": ['), (n + 1, "]}")], "_place bigint, value string")
     rows.unionByName(edges).repartitionByRange("_place").sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
+
+
+def write_expansion(found: DataFrame, path: str, query: str, mode: str, seeds: list[str]) -> None:
+    """The works of an expansion (work, ...) in the envelope of `citations.expansion_report`, by work. seeds: those asked for by hand."""
+    about = {k: v for k, v in expansion_report(query, mode, seeds, []).items() if k not in ("records", "record_count")}
+    write_wrapped(found, path, ("work",), **about)

@@ -105,6 +105,11 @@ def test_killed_run_goes_on_target_by_target(spark, tmp_path):
     assert calls(log) - n == 3 * 2 * 2 and out.records.count() == 120
 
 
+def test_no_fragments(spark, tmp_path):
+    out = job.run(spark, targets(spark, 1).where("false"), THEMES, judges(str(tmp_path)), str(tmp_path / "work"))
+    assert out.records is None and out.review is None and out.summary.count() == 0
+
+
 def test_a_change_before_a_run_keeps_its_mark(spark):
     f = targets(spark, 1)
     more = f.unionByName(spark.createDataFrame([("T00", -5, "x", "file9", "dir", "first")], SCHEMA)).withColumn("ord", F.col("ord") + 100)

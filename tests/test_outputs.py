@@ -63,6 +63,15 @@ def test_wrapped_and_sorted_records(spark, tmp_path):
     assert own == sorted(own) and len(own) == 33
 
 
+def test_expansion_envelope(spark, tmp_path):
+    seeds = spark.createDataFrame([(1, "W123"), (2, "W456")], "seed_ord int, seed string")
+    edges = spark.createDataFrame([("W900", "W123"), ("W900", "W456"), ("W901", "W456"), ("W1", "W2")], "citing string, cited string")
+    record_files.write_expansion(citations.expand(seeds, edges, 2, "cited_by"), str(tmp_path / "e"), "rain", "cited_by", ["W123", "W456"])
+    found = json.loads(joined(tmp_path / "e"))
+    assert (found["provider"], found["expand_mode"], found["query"], found["params"], len(found["fetches"]), found["record_count"]) == ("openalex-expand", "cited_by", "rain", {"seed_ids": ["W123", "W456"]}, 2, 2)
+    assert [(r["work"], r["parents"], r["discovered_round"]) for r in found["records"]] == [("W900", ["W123", "W456"], 2), ("W901", ["W456"], 2)]
+
+
 # ---- early stop
 
 
