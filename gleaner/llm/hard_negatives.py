@@ -60,17 +60,22 @@ class Chunk:
         kind = np.float64 if exact else object
         x, a = x.astype(kind), self.a.astype(kind)
         low, high = np.empty((len(a), len(x))), np.empty((len(a), len(x)))
+        ends = [float(v) for v in LONGS]  # scores stop there
+
+        def inside(i: int) -> np.ndarray:
+            return (np.clip(high[i], *ends) >= least) & (np.clip(low[i], *ends) <= most)
+
         for i in self.order:
             mask, least, most = usable(i)
             up = self.parent[i]
             if up >= 0:
                 reach = self.edge[i] * n * (1 + 1e-9) + 1e-9 * self.longest * n + 1e-6
                 low[i], high[i] = low[up] - reach, high[up] + reach
-                at = np.flatnonzero(mask & (high[i] >= least) & (low[i] <= most))
+                at = np.flatnonzero(mask & inside(i))
             if up < 0 or 2 * len(at) > len(x):  # as well all
                 score = x @ a[i]
                 low[i] = high[i] = score
-                at = np.flatnonzero(mask & (low[i] >= least) & (high[i] <= most))
+                at = np.flatnonzero(mask & inside(i))
                 score = score[at]
             else:
                 score = x[at] @ a[i]
@@ -154,6 +159,8 @@ def hard_negatives(
                 windows = [[(-(-low * p // 100), high * p // 100) for p in ps] for ps in t.column("p_score").to_pylist()]
                 least = np.array([min((a for a, b in w if a <= b), default=np.inf) for w in windows], float)
                 most = np.array([max((b for a, b in w if a <= b), default=-np.inf) for w in windows], float)
+                # as doubles, a little wider: the windows themselves are whole numbers
+                least, most = np.nextafter(least, -np.inf), np.nextafter(most, np.inf)
                 best = Best(positives * len(own), negatives)
             elif g == now:
                 row, vec, none = ids(t)

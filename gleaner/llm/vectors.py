@@ -195,7 +195,9 @@ class Best:
         place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
         self.held = [x[order[place < self.k]] for x in every]
         full = place[place < self.k] == self.k - 1
-        at, score = self.held[0][full], self.held[1][full]
+        at, score = self.held[0][full], self.held[1][full].astype(np.float64)
+        # beyond what doubles tell apart, a little below
+        score = np.where(np.abs(score) < EXACT, score, np.nextafter(score, -np.inf))
         self.kth[at] = np.maximum(self.kth[at], score)
 
 

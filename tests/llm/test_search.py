@@ -63,6 +63,22 @@ def test_top_k_of_huge_components(spark):
         assert [got[i, p] for p in range(1, 5)] == [(j, -s) for s, j in best]
 
 
+def test_hard_negatives_of_huge_components(spark):
+    """Scores that doubles can't tell apart, and some beyond a long's range, which are its end."""
+    r, top = np.random.default_rng(6), (1 << 63) - 1
+    for scale in (2e6, 6e6):
+        data = [(i, [float(np.float32(x)) for x in scale * (2 + r.uniform(size=3) * 1e-5)], i % 2) for i in range(40)]
+        got = hard_negatives.hard_negatives(spark.createDataFrame(data, SCHEMA), F.col("vec_id") < 6, low=99, shard_rows=8, groups=3).collect()
+        v, want = whole(data), []
+        for i, e, l in v[:6]:
+            near = [(min(top, score(e, b)), j, m) for j, b, m in v if j != i]
+            for p, pid, _ in ranked(x for x in near if x[2] == l)[:5]:
+                inside = ranked(x for x in near if x[2] != l and 99 * p <= 100 * x[0] <= 100 * p)[:5]
+                want += [(i, pid, k, j, p, s) for k, (s, j, _) in enumerate(inside, 1)]
+        assert max(x[5] for x in want) > 1 << 60 and len(want) > 60
+        assert sorted((x.anchor_id, x.positive_id, x.rank, x.negative_id, x.positive_score, x.negative_score) for x in got) == sorted(want)
+
+
 def test_bounds_hold_and_cut():
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 16)) * 400
