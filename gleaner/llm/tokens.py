@@ -30,9 +30,10 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """max_words bounds the words that are remembered, at about 100 bytes each; beyond it memory starts anew."""
+    """max_words bounds the words that are remembered, at about 100 bytes each, and as much again while they are looked up; beyond
+    it memory starts anew."""
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
