@@ -7,9 +7,11 @@ then of one length), and one bin for each structure statistic of the text (lengt
 letters, digits, capitals, marks and white space, length of words and lines, distinct words and lines). The
 score reads nothing but the text.
 
-The model is fitted on at most `max_rows` labelled rows, those of smallest hash of doc_id among rows that aren't
-held out; everything is scored. Held out: crc32(doc_id as text) mod 5 = 0. Null texts count as empty and get a
-score like others. Different labels of one doc_id each count; of rows that repeat a doc_id the one whose text
+The model is fitted on a bounded sample: at most `max_rows` labelled rows, those of smallest hash of doc_id among rows
+that aren't held out, and of these, in the same order, as many as have `max_bytes` of text together (a text that would go
+beyond is passed over, later ones may still fit). A feature takes two bytes of text at least, so both bound what the fit
+holds. Everything is scored. Held out: crc32(doc_id as text) mod 5 = 0, a null doc_id counting as empty text, so held
+out. Null texts count as empty and get a score like others. Different labels of one doc_id each count; of rows that repeat a doc_id the one whose text
 has the smallest hash is learnt from. Labels that are null, or of unknown documents, teach nothing. Without both labels in the sample the score is a constant, the share of ones.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, save
 from .tokens import pieces_of
 
 WORD_BITS, BINS = 15, 16
@@ -54,7 +57,7 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,15 +94,28 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(at, name, y, text), a table in the shared folder; rows are taken in the order of (at, name)."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     # at most max_rows rows of two numbers
     found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     # one text for each, however often a doc_id is repeated
-    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
+    once = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return save(once.select(F.xxhash64("doc_id").alias("at"), F.concat_ws(":", "doc_id", "y").alias("name"), "y", "text"), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, rank: int = 8, epochs: int = 6, seed: int = 7) -> Model:
+def _beyond(sample: DataFrame, max_bytes: int) -> list[str]:
+    """Names of the rows that have no room in max_bytes; only lengths come to the driver, max_rows of them at most."""
+    out = []
+    for r in sample.select("at", "name", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("at", "name").collect():
+        if r.n <= max_bytes:
+            max_bytes -= r.n
+        else:
+            out.append(r.name)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_bytes: int = 64 << 20, rank: int = 8, epochs: int = 6, seed: int = 7) -> Model:
     """Adagrad on the logistic loss, in batches; features are made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, rank: int = 8
                 each = lambda v, kind: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(v, kind)).cast(pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([b.column(0), each(at, pa.int32()), each(x, pa.float32())], ["y", "at", "x"])
 
-    t = _sample(docs, labels, max_rows).mapInArrow(run, "y int, at array<int>, x array<float>").toArrow().combine_chunks()
+    sample = _sample(docs, labels, max_rows)
+    beyond = _beyond(sample, max_bytes)
+    bounded = sample.where(~F.col("name").isin(beyond)) if beyond else sample
+    t = bounded.select("y", "text").mapInArrow(run, "y int, at array<int>, x array<float>").toArrow().combine_chunks()
+    discard(sample)
     y = t.column("y").to_numpy().astype(float) if t.num_rows else np.zeros(0)
     rng = np.random.default_rng(seed)
     model = Model(0.0, np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, rank)))

@@ -58,6 +58,31 @@ def test_held_out_accuracy(spark):
     assert np.allclose(model.weight, again.weight, atol=1e-5)
 
 
+def test_sample_is_bounded_in_bytes(spark):
+    docs, labels = data(60)
+    docs[7] = (7, "long words " * 50_000)
+    df, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    sample = quality._sample(df, known, 8_000)
+    rows = sorted(sample.collect(), key=lambda r: (r["at"], r["name"]))
+    room, beyond = 3_000, []
+    for r in rows:
+        if len(r.text) <= room:
+            room -= len(r.text)
+        else:
+            beyond.append(r["name"])
+    assert quality._beyond(sample, 3_000) == beyond and f"7:{labels[7][1]}" in beyond and len(beyond) < len(rows)
+    assert quality._beyond(sample, 64 << 20) == []
+    # what is passed over teaches nothing
+    left = {int(k.split(":")[0]) for k in beyond}
+    fewer = known.where(~F.col("doc_id").isin(*left))
+    assert np.allclose(quality.fit(df, known, max_bytes=3_000).weight, quality.fit(df, fewer).weight, atol=1e-6)
+
+
+def test_rows_without_doc_id_are_held_out(spark):
+    df = spark.createDataFrame([(None, "a"), (3, "b")], SCHEMA)
+    assert {r.doc_id: r.h for r in df.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()}[None] is True
+
+
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], SCHEMA)
     for rows in ([], [(1, 1, 0), (2, 1, 0)]):
