@@ -3,14 +3,14 @@
 A test item of n distinct five-word shingles is contained in a document if at least `threshold` of them
 occur there. Items are partitioned by size, [2^c, 2^(c+1)). Each partition has one signature length: with
 u = 2^(c+1) - 1 shingles at most, u - ceil(threshold * u) + 1. An item's signature is that many of its shingles
-with the smallest hashes (its bottom-k MinHash). A document that contains the item misses too few shingles
+that come first in one order of all shingles (its bottom-k MinHash): by the number of items that have them, then by hash. A document that contains the item misses too few shingles
 to miss the whole signature, so looking the documents' shingles up among the signatures loses no pair. Pairs that
 are found so are verified by counting the item's shingles, as strings, in the document. The document's own
 size never lowers the score, so short items in long documents are found.
 
 Words are maximal runs of letters and digits of the lower-cased text. Texts of one to four words have one
 shingle, all words; null, empty and wordless texts have none and match nothing. Repeated rows of one doc_id
-count as one document; rows without doc_id or item_id are passed over. Signatures (and candidates) are
+count as one document, of one item_id as one item with the shingles of all; rows without doc_id or item_id are passed over. Signatures (and candidates) are
 broadcast only after their count is known to be under `max_broadcast`; else the join shuffles.
 """
 
@@ -44,21 +44,27 @@ def shingle_hashes(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     return w.select(key, F.explode(F.transform(_starts(n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))).alias("h"))
 
 
-def signatures(items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(item_id, n_shingles, need, size_class, h): each item's bottom-k hashes, k by its size partition."""
-    w = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
-    hashes = F.array_distinct(F.transform(_starts(n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)])))
-    s = w.select("item_id", F.array_sort(hashes).alias("hs")).where(F.size("hs") > 0).withColumn("n_shingles", F.size("hs"))
+def signatures(items: DataFrame, n: int = 5, threshold: float = 0.8, max_broadcast: int = 1_000_000) -> DataFrame:
+    """(item_id, n_shingles, need, size_class, h): each item's bottom-k shingles, k by its size partition.
+
+    Smallest are those of the fewest items, then of the smallest hash: one order for all items, so what a prompt's
+    fixed words have in common is looked up only for items that have little else.
+    """
+    h = shingle_hashes(items, "item_id", n).distinct()
+    shared = h.groupBy("h").agg(F.count(F.lit(1)).alias("in_items")).where("in_items > 1")
+    one = W.partitionBy("item_id")
+    s = h.join(maybe_broadcast(shared, max_broadcast), "h", "left").withColumn("n_shingles", F.count(F.lit(1)).over(one))
+    s = s.withColumn("at", F.row_number().over(one.orderBy(F.coalesce("in_items", F.lit(1)), "h")))
     s = s.withColumn("size_class", F.floor(F.log2(F.col("n_shingles").cast("double"))).cast("int"))
     most = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
-    length = (most - F.ceil(most * threshold - 1e-9) + 1).cast("int")
+    length = most - F.ceil(most * threshold - 1e-9) + 1
     need = F.ceil(F.col("n_shingles") * threshold - 1e-9).cast("int").alias("need")
-    return s.select("item_id", "n_shingles", need, "size_class", F.explode(F.slice("hs", F.lit(1), length)).alias("h"))
+    return s.where(F.col("at") <= length).select("item_id", "n_shingles", need, "size_class", "h")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, max_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of the items that documents contain."""
-    sig = save(signatures(items, n, threshold), "signatures")
+    sig = save(signatures(items, n, threshold, max_broadcast), "signatures")
     found = shingle_hashes(docs, "doc_id", n).join(maybe_broadcast(sig.select("item_id", "h"), max_broadcast), "h")
     pairs = save(found.select("doc_id", "item_id").distinct(), "candidates")
     ids, chosen = pairs.select("doc_id").distinct(), pairs.select("item_id").distinct()

@@ -108,6 +108,27 @@ def test_signatures_lose_no_pair(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 50
 
 
+def test_signatures_avoid_what_items_share(spark):
+    prompt = "read the passage below and answer the question that follows it"
+    items = [(i, f"{prompt} " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(25)] + [(99, prompt)]
+    frame_of = spark.createDataFrame(items, "item_id bigint, text string")
+    sig = {}
+    for limit in (1_000_000, 0):
+        sig = {i: {r.h for r in decontam.signatures(frame_of, max_broadcast=limit).where(F.col("item_id") == i).collect()} for i in (0, 1, 99)}
+        assert len(sig[0]) == len(sig[1]) and not sig[0] & sig[1] and not sig[0] & sig[99] and sig[99]
+    # a document that holds the prompt alone is a candidate for the item that is the prompt, and found to contain it
+    docs = frame(spark, [(1, f"so {prompt} please"), (2, f"well {items[3][1]}")])
+    got = {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, frame_of).collect()}
+    assert got == {(1, 99), (2, 99), (2, 3)}
+
+
+def test_rows_of_one_item_are_one_item(spark):
+    parts = [" ".join(f"{c}{k}" for k in range(12)) for c in "ab"]
+    items = spark.createDataFrame([(1, parts[0]), (1, parts[1])], "item_id bigint, text string")
+    docs = frame(spark, [(1, parts[0]), (2, parts[1]), (3, " ".join(parts))])
+    assert {(r.doc_id, r.item_id, r.n_shingles) for r in decontam.contained_items(docs, items).collect()} == {(3, 1, 16)}
+
+
 # ---- line dedup
 
 
