@@ -38,7 +38,7 @@ def coarse(payload: Column, names: Column, by_index: Column) -> Column:
     def read_payload(payload: Column) -> Column:
         is_list = F.coalesce(F.startswith(F.ltrim(F.get_json_object(payload, "$.themes")), F.lit("[")), F.lit(False))
         ref = lambda x: F.coalesce(F.nullif(x["theme"], F.lit("")), F.nullif(x["theme_id"], F.lit("")), x["index"])
-        mention = lambda r, flag: F.struct(theme_ref(r, names, by_index).alias("theme"), to_bool(flag).alias("flag"))
+        mention = lambda r, flag: F.struct(theme_ref(r, names, by_index, True).alias("theme"), to_bool(flag, True).alias("flag"))
         listed = F.transform(F.from_json(payload, THEMES)["themes"], lambda x: mention(ref(x), x["is_relevant"]))
         flat = F.transform(F.map_entries(F.from_json(payload, OBJECT)), lambda x: mention(x["key"], x["value"]))
         read = F.struct(is_list.alias("is_list"), F.coalesce(F.when(is_list, listed).otherwise(flat), F.array().cast("array<struct<theme:string,flag:boolean>>")).alias("all"))
@@ -62,7 +62,7 @@ def targeted(payload: Column, piece_ids: Column) -> Column:
     """
     def read_payload(payload: Column) -> Column:
         good = F.coalesce(F.startswith(F.ltrim(F.get_json_object(payload, "$.results")), F.lit("[")), F.lit(False))
-        hits = F.filter(F.from_json(payload, RESULTS)["results"], lambda x: F.coalesce(to_bool(x["is_relevant"]), F.lit(True)))
+        hits = F.filter(F.from_json(payload, RESULTS)["results"], lambda x: F.coalesce(to_bool(x["is_relevant"], True), F.lit(True)))
         hits = F.transform(hits, lambda x: F.struct(strip(x["piece_id"]).alias("id"), F.coalesce(F.nullif(strip(x["reason"]), F.lit("")), F.lit(NO_REASON)).alias("reason")))
 
         def judge(h: Column) -> Column:

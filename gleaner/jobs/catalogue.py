@@ -492,6 +492,8 @@ def q_target_state(spark, sf):
 class _Rules:
     """The rule screeners of `screen` as models that answer in JSON: 1 and 2 judge, 3 rules; some targets get no answer."""
 
+    local = True
+
     def __init__(self, which: int, silent: F.Column | None = None):
         self.which, self.silent, self.model = which, silent, f"rules{which}"
 

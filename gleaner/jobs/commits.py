@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import last_wins
-from .state import names, put_new, read_text
+from .state import names, no_rows, put_new, read_text
 
 SCHEMA = "version bigint, target string, phase string, is_completed boolean, fingerprint string, snapshot string, epoch int, counts map<string, bigint>, error string, updated_at timestamp"
 
@@ -38,7 +38,7 @@ class Commits:
 
     def history(self) -> DataFrame:
         if self.version() < 0:
-            return self.spark.createDataFrame([], SCHEMA)
+            return no_rows(self.spark, SCHEMA)
         return self.spark.read.schema(SCHEMA).option("pathGlobFilter", "*.json").json(self.path)
 
     def current(self) -> DataFrame:

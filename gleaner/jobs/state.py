@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,6 +23,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def no_rows(spark: SparkSession, schema: str | StructType) -> DataFrame:
+    """An empty table that the optimizer knows to be empty, so that no task runs for it."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields)).where("false")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

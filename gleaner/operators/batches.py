@@ -195,10 +195,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Rec
 
 
 def batch_rows(assigned: DataFrame, by: list[str], order: str, batch: str = "batch_ord", length: str = "n") -> DataFrame:
-    """One row for each batch: id, pieces in order, text, char_count. A batch is bounded by the limit."""
+    """One row for each batch: id, ids of its pieces in order, text, char_count, pieces with their texts. A batch is bounded by the limit."""
     one = F.array_sort(F.collect_list(F.struct(order, "piece_id", "original_text")))
     out = assigned.groupBy(*by, batch).agg(one.alias("_p"), F.sum(length).cast("bigint").alias("char_count"))
     return out.select(
         *by, batch, F.format_string("batch_%06d", F.col(batch)).alias("batch_id"), F.transform("_p", lambda x: x["piece_id"]).alias("piece_ids"),
         F.array_join(F.transform("_p", lambda x: x["original_text"]), "\n\n").alias("batch_text"), "char_count",
+        F.transform("_p", lambda x: F.struct(x["piece_id"].alias("piece_id"), x["original_text"].alias("original_text"))).alias("pieces"),
     )

@@ -33,13 +33,16 @@ CHARS_A_TOKEN = 4
 
 @dataclass(frozen=True)
 class RuleScreener:
-    """Deterministic: payload(requests' columns) is the answer."""
+    """Deterministic: payload(requests' columns) is the answer. The hash of what was asked, where there is one, goes along."""
 
     payload: Column
     model: str = "rule"
 
+    #: answers cost no request, so a log takes them all at once
+    local = True
+
     def screen(self, requests: DataFrame) -> DataFrame:
-        return requests.select("key", F.lit("ok").alias("status"), self.payload.alias("payload"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
+        return requests.select("key", *(c for c in ("asked",) if c in requests.columns), F.lit("ok").alias("status"), self.payload.alias("payload"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
 
 
 @dataclass(frozen=True)
@@ -212,7 +215,8 @@ def coarse_positives(answers: DataFrame, keys: list[str]) -> DataFrame:
 
     Where a screener gave up (status manual) every theme counts as relevant.
     """
-    t = answers.select(*keys, "status", F.explode("themes").alias("t"))
+    # outer, and filtered afterwards: else Spark infers filters on themes and reads each answer once more for them
+    t = answers.select(*keys, "status", F.explode_outer("themes").alias("t")).where("t is not null")
     return t.where(F.col("t.is_relevant") | (F.col("status") == "manual")).select(*keys, F.col("t.theme").alias("theme"))
 
 
@@ -225,7 +229,7 @@ def candidate_pairs(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 def flatten_targeted(rows: DataFrame, keys: list[str], slot: str, order: str = "ord") -> DataFrame:
     """One verdict for each (keys, piece_id, theme): the last. rows: keys, theme, order, status, results."""
-    flat = rows.select(*keys, "theme", order, "status", F.explode("results").alias("r"))
+    flat = rows.select(*keys, "theme", order, "status", F.explode_outer("results").alias("r")).where("r is not null")
     manual = (F.col("status") == "manual") | (F.col("r.reason") == MANUAL)
     flat = flat.select(*keys, F.col("r.piece_id").alias("piece_id"), "theme", order, F.col("r.is_relevant").alias("is_relevant"), F.col("r.reason").alias("reason"), manual.alias("needs_manual_review"), F.lit(slot).alias("slot"))
     return last_wins(flat, [*keys, "piece_id", "theme"], [order]).drop(order)
