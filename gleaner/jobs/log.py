@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.dedupe import last_wins
 from ..operators.screening import ANSWERED
 from ..sources.journal import Journal
-from .state import delete, exists, no_rows
+from .state import delete, exists, lean_shuffles, no_rows
 
 ABOUT = ("model", "provider", "usage")
 SCHEMA = "stage string, slot string, fingerprint string, key string, asked string, status string, payload string, error string, attempts int, ord bigint, model string, provider string, usage string"
@@ -56,7 +56,8 @@ class ResponseLog:
     def append(self, answers: DataFrame, stage: str, slot: str, mark: str, ord_: int) -> None:
         about = [F.col(c) if c in answers.columns else F.lit(None).cast("string").alias(c) for c in ABOUT]
         a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "asked", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"), *about)
-        a.write.mode("append").parquet(self.path)
+        with lean_shuffles(self.spark):
+            a.write.mode("append").parquet(self.path)
 
     def journal(self, stage: str, slot: str, mark: str) -> str:
         return f"{self.path}-journal/{stage}-{slot}-{mark}"
@@ -78,7 +79,10 @@ class ResponseLog:
         self.merge(stage, slot, mark, ord_)
         requests = with_asked(requests)
         todo = self.pending(requests, stage, slot, mark)
-        slices = 1 if getattr(screener, "local", False) else -(-todo.count() // slice_rows)
+        n = self.pending(requests.select("key", "asked"), stage, slot, mark).count()
+        if n and n == requests.count():
+            todo = requests  # no prompt has to be moved to where its answer would be
+        slices = min(n, 1) if getattr(screener, "local", False) else -(-n // slice_rows)
         path = f"{self.path}-todo-{slot}-{ord_}"
         if slices > 1:  # a folder for each slice, so that asking one doesn't read the others
             todo.withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(slices))).repartition("_slice").write.mode("overwrite").partitionBy("_slice").parquet(path)

@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def lean_shuffles(spark: SparkSession):
+    """Inside, a finished write drops its shuffle files at once: its result is a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def no_rows(spark: SparkSession, schema: str | StructType) -> DataFrame:
     """An empty table that the optimizer knows to be empty, so that no task runs for it."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema

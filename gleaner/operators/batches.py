@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..jobs.state import scratch_dir
+from ..jobs.state import lean_shuffles, scratch_dir
 
 LIMIT = 500
 
@@ -121,7 +121,8 @@ def assign_batches(
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     path = scratch_dir(fragments.sparkSession)
-    ranged.mapInArrow(place, f"{schema}, _part long").write.parquet(path)
+    with lean_shuffles(fragments.sparkSession):
+        ranged.mapInArrow(place, f"{schema}, _part long").write.parquet(path)
     saved = fragments.sparkSession.read.parquet(path)
 
     def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..jobs.state import scratch_dir
+from ..jobs.state import lean_shuffles, scratch_dir
 
 BLOCK = 1 << 20  # a power of 2
 _PAST = (W.unboundedPreceding, -1)
@@ -80,6 +80,10 @@ def run_numbers(df: DataFrame, by: list[str], order: str, cols: list[str], name:
     d = _blocked(df, order).withColumn("_lag", F.lag(s).over(w))
     d = d.withColumn("_here", F.sum(changed(s, "_lag")).over(through(w))).drop("_lag")
     blocks = d.groupBy(*by, "_block").agg(F.min_by(s, order).alias("_first"), F.max_by(s, order).alias("_last"), F.max("_here").alias("_n"))
+    path = scratch_dir(df.sparkSession)  # stored, as they are read twice
+    with lean_shuffles(df.sparkSession):
+        blocks.write.parquet(path)
+    blocks = df.sparkSession.read.schema(blocks.schema).parquet(path)
     w = W.partitionBy(*by, "_over").orderBy("_block")
     blocks = blocks.withColumn("_over", _block_of(F.col("_block"))).withColumn("_lag", F.lag("_last").over(w))
     blocks = blocks.withColumn("_turn", changed(F.col("_first"), "_lag")).withColumn("_near", F.sum(F.col("_turn") + F.col("_n")).over(through(w)) - F.col("_n"))
