@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.dedupe import last_wins
 from ..operators.screening import ANSWERED
 from ..sources.journal import Journal
-from .state import delete, exists, lean_shuffles, no_rows
+from .state import PACKED, delete, exists, lean_shuffles, no_rows
 
 ABOUT = ("model", "provider", "usage")
 SCHEMA = "stage string, slot string, fingerprint string, key string, asked string, status string, payload string, error string, attempts int, ord bigint, model string, provider string, usage string"
@@ -57,7 +57,7 @@ class ResponseLog:
         about = [F.col(c) if c in answers.columns else F.lit(None).cast("string").alias(c) for c in ABOUT]
         a = answers.select(F.lit(stage).alias("stage"), F.lit(slot).alias("slot"), F.lit(mark).alias("fingerprint"), "key", "asked", "status", "payload", "error", "attempts", F.lit(ord_).cast("bigint").alias("ord"), *about)
         with lean_shuffles(self.spark):
-            a.write.mode("append").parquet(self.path)
+            a.write.mode("append").parquet(self.path, **PACKED)
 
     def journal(self, stage: str, slot: str, mark: str) -> str:
         return f"{self.path}-journal/{stage}-{slot}-{mark}"

@@ -22,7 +22,7 @@ from ..operators import adjudicate, batches, dedupe, ordered, review, screening
 from ..sinks import record_files
 from .commits import Commits, expand_counts
 from .log import ResponseLog, fingerprint, with_asked
-from .state import delete, exists, lean_shuffles, names, no_rows, read_json, update_json
+from .state import PACKED, delete, exists, lean_shuffles, names, no_rows, read_json, update_json
 
 VERSION = 3
 JUDGES = ("llm1", "llm2")
@@ -108,7 +108,7 @@ class Packs:
         cut = batches.assign_batches(f, target="_unit", same=(), limit=limit, keep=("target", "occurrence", "run_mark", "n")).drop("_unit")
         rows = batches.batch_rows(fragments.join(cut, ["target", "ord"]), RUN, "ord")
         with lean_shuffles(self.spark):
-            rows.select(*RUN, F.col("batch_ord").cast("int").alias("local"), "char_count", "pieces").write.mode("overwrite").parquet(f"{self.path}/{name}")
+            rows.select(*RUN, F.col("batch_ord").cast("int").alias("local"), "char_count", "pieces").write.mode("overwrite").parquet(f"{self.path}/{name}", **PACKED)
 
     def batches(self, marks: DataFrame) -> DataFrame:
         """(target, batch_ord, batch_id, source_file, repo_dir, occurrence, local, char_count, pieces), numbered in the target."""
@@ -165,7 +165,7 @@ def run(
             wave_of = marks.select("target", "wave")
             rows = fragments.select(*FRAGMENT).join(F.broadcast(wave_of) if n <= FEW else wave_of, "target")
             with lean_shuffles(spark):
-                rows.write.mode("overwrite").partitionBy("wave").parquet(dealt)
+                rows.write.mode("overwrite").partitionBy("wave").parquet(dealt, **PACKED)
         for k in range(waves):
             own = [r.asDict() for r in marks.where(F.col("wave") == k).collect()]  # about wave_targets
             if own:
@@ -215,7 +215,7 @@ class _Wave:
     def stored(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/snapshot={self.snapshot}"
         with lean_shuffles(self.spark):
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, **PACKED)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
